@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import is_split
+from leafmill.llm.lang_id import learn_languages, predict_languages
 from leafmill.llm.near_dup import near_duplicates
+from leafmill.llm.quality import learn_quality, predict_quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,20 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = is_split("doc_id", 4, 2)
+    model = learn_languages(docs, ~held_out)
+    return predict_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = is_split("doc_id", 4, 2)
+    trees = learn_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return predict_quality(docs.select("doc_id", held_out.alias("held_out"), "text"), trees).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
