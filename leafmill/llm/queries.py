@@ -12,6 +12,7 @@ from leafmill.llm.common import is_split
 from leafmill.llm.embed_dup import embedding_duplicates
 from leafmill.llm.lang_id import learn_languages, predict_languages
 from leafmill.llm.near_dup import near_duplicates
+from leafmill.llm.warc import read_back, write_warc
 from leafmill.llm.quality import learn_quality, predict_quality
 
 
@@ -27,6 +28,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(spark, write_warc(table(spark, sf_dir, "pages")))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
