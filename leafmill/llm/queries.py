@@ -12,6 +12,7 @@ from leafmill.llm.common import is_split
 from leafmill.llm.decontaminate import contamination
 from leafmill.llm.embed_dup import embedding_duplicates
 from leafmill.llm.lang_id import learn_languages, predict_languages
+from leafmill.llm.license_scan import license_matches
 from leafmill.llm.near_dup import near_duplicates
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.warc import read_back, write_warc
@@ -26,6 +27,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
