@@ -13,6 +13,7 @@ from leafmill.llm.decontaminate import contamination
 from leafmill.llm.embed_dup import embedding_duplicates
 from leafmill.llm.lang_id import learn_languages, predict_languages
 from leafmill.llm.license_scan import license_matches
+from leafmill.llm.lm import score_documents
 from leafmill.llm.near_dup import near_duplicates
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.warc import read_back, write_warc
@@ -67,6 +68,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("train", ~is_split("doc_id", 10, 0))
+    return score_documents(docs).withColumn("held_out", ~F.col("train")).drop("train")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = is_split("doc_id", 4, 2)
