@@ -14,6 +14,7 @@ from leafmill.llm.embed_dup import embedding_duplicates
 from leafmill.llm.lang_id import learn_languages, predict_languages
 from leafmill.llm.license_scan import license_matches
 from leafmill.llm.lm import score_documents
+from leafmill.llm.oracles import ORACLES
 from leafmill.llm.near_dup import near_duplicates
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.warc import read_back, write_warc
@@ -86,6 +87,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
-
-
-ORACLES: dict[str, str] = {}
