@@ -7,7 +7,7 @@ after (c1, c2) is r_w . (q_c1 C1 + q_c2 C2) + b_w.  Since it is a sum of one ter
 context place, the normalisers of all contexts are one matrix product of exponentials.
 
 Training sees all training documents, twice: every task follows noise-contrastive gradients
-from the same start over its documents, and the parameters are averaged by words seen.
+from the same start over its documents, in single precision, and the parameters are averaged by words seen.
 
 Counts are exact over all training documents.  Documents are cut into blocks of bounded
 size; a block sends each of its distinct words once with its count, gets back the corpus
@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import chunks, column, utf8, written
 
 BLOCK_BYTES = 32 << 20
-DIM, BATCH, NOISE, ROUNDS = 24, 4096, 96, 2
+DIM, BATCH, NOISE, ROUNDS = 16, 8192, 32, 2
+#: Noise words to each word, in expectation; a batch's are drawn once for all its positions.
+_RATIO = 8.0
 
 
 @dataclass
@@ -56,7 +58,9 @@ class LogBilinear:
             rng = np.random.default_rng(11)
             parts = [rng.normal(0, 0.1, s) for s in sizes[:2]] + [np.eye(DIM), np.eye(DIM) * 0.5, np.log(share)]
             flat = np.concatenate([p.ravel() for p in parts])
-        self.flat, self.noise = flat.astype(np.float64), share
+        self.flat, self.noise = flat.astype(np.float32), share
+        self.log_noise = np.log(_RATIO * share).astype(np.float32)
+        self.sums = np.cumsum(share)
         at, views = 0, []
         for s in sizes:
             k = int(np.prod(s))
@@ -66,18 +70,20 @@ class LogBilinear:
 
     def train(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray, rng: np.random.Generator, rate: float) -> None:
         """One noise-contrastive gradient step over the positions of a batch."""
-        n, k = len(w), 8.0
-        drawn = np.searchsorted(np.cumsum(self.noise), rng.random(NOISE)).clip(0, len(self.b) - 1)
+        n = len(w)
+        drawn = np.searchsorted(self.sums, rng.random(NOISE)).clip(0, len(self.b) - 1)
         q1, q2 = self.q[c1], self.q[c2]
         h = q1 @ self.c1 + q2 @ self.c2
-        log_noise = np.log(k * self.noise)
         rw, rn = self.r[w], self.r[drawn]
-        good = np.einsum("ij,ij->i", h, rw) + self.b[w] - log_noise[w]
-        bad = h @ rn.T + self.b[drawn] - log_noise[drawn]
-        up = 1 / (1 + np.exp(np.clip(good, -30, 30)))
-        down = -(k / NOISE) / (1 + np.exp(-np.clip(bad, -30, 30)))
+        good = np.einsum("ij,ij->i", h, rw) + self.b[w] - self.log_noise[w]
+        bad = h @ rn.T + self.b[drawn] - self.log_noise[drawn]
+        with np.errstate(over="ignore"):  # infinity is right there
+            up = 1 / (1 + np.exp(good))
+            np.exp(np.negative(bad, out=bad), out=bad)
+            bad += 1
+            down = np.divide(np.float32(-_RATIO / NOISE), bad, out=bad)
         gh = up[:, None] * rw + down @ rn
-        step = rate / n
+        step = np.float32(rate / n)
         gc1, gc2, gq1, gq2 = q1.T @ gh, q2.T @ gh, gh @ self.c1.T, gh @ self.c2.T
         _add(self.r, w, up[:, None] * h, step * 20)
         np.add.at(self.r, drawn, step * 20 * (down.T @ h))
@@ -88,8 +94,9 @@ class LogBilinear:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by last class, by the one before, and log-normalisers of each pair of contexts."""
-        first = self.q @ self.c1 @ self.r.T
-        second = self.q @ self.c2 @ self.r.T + self.b
+        q, r, c1, c2, b = (x.astype(np.float64) for x in (self.q, self.r, self.c1, self.c2, self.b))
+        first = q @ c1 @ r.T
+        second = q @ c2 @ r.T + b
         t1, t2 = first.max(1, keepdims=True), second.max(1, keepdims=True)
         norm = np.log(np.exp(first - t1) @ np.exp(second - t2).T) + t1 + t2.T
         return first, second, norm
@@ -161,23 +168,38 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from words_of()
 
 
+class _Classes(dict):
+    """Classes of words, with one for all that are missing."""
+
+    def __init__(self, words: dict[bytes, int], other: int):
+        super().__init__(words)
+        self.other = other
+
+    def __missing__(self, word: bytes) -> int:
+        return self.other
+
+
 def _fit(shape: Shape, flat: np.ndarray | None, seed: int, rate: float):
     """Follows the gradients over one task's documents; emits its parameters with the words seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rng, seen = LogBilinear(shape.share, flat), np.random.default_rng(seed), 0
         other, start = shape.outputs - 1, shape.outputs
-        get = shape.words.get
+        lookup = _Classes(shape.words, other).__getitem__
         for part in chunks(batches, "text", 1 << 20):
             docs = [tokens(t) for t in utf8(column(part, "text"))]
-            w = np.fromiter((get(x, other) if x is not None else 0 for d in docs for x in (*d, None)), np.int64, sum(len(d) + 1 for d in docs))
-            first = np.cumsum([0, *(len(d) + 1 for d in docs[:-1])])
+            size = np.array([len(d) + 1 for d in docs])
+            first = np.cumsum(size) - size
+            w = np.zeros(size.sum(), np.int32)  # the last of each stays 0, the end
+            own = np.ones(len(w), bool)
+            own[first + size - 1] = False
+            w[own] = np.fromiter(map(lookup, chain.from_iterable(docs)), np.int32, int(own.sum()))
             c1, c2 = contexts(w, first, start)
             for s in range(0, len(w), BATCH):
                 model.train(c1[s : s + BATCH], c2[s : s + BATCH], w[s : s + BATCH], rng, rate)
             seen += len(w)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([model.flat.tolist()], pa.list_(pa.float64()))], ["seen", "flat"])
+            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([model.flat.astype(np.float64)], pa.list_(pa.float64()))], ["seen", "flat"])
 
     return run
 
@@ -208,19 +230,22 @@ def _score(shape: Shape, flat: np.ndarray, known: dict):
         if not docs.num_rows:
             return pa.table({n: pa.array([], t) for n, t in SCORED})
         place = words["place"].to_numpy()
-        total, kind = np.zeros(len(place) + 1, np.int64), np.zeros(len(place) + 1, np.int64)
+        total, kind = np.zeros(len(place) + 1, np.int64), np.zeros(len(place) + 1, np.int32)
         total[place], kind[place] = words["total"].to_numpy(), words["class"].to_numpy()
         total[-1], kind[-1] = known["docs"], 0
         ids = [np.frombuffer(x, np.uint32) for x in docs["ids"].to_pylist()]
         size = np.array([len(x) + 1 for x in ids])
         ends = np.cumsum(size)
         first = ends - size
-        every = np.concatenate([y for x in ids for y in (x.astype(np.int64), [len(place)])])
+        every = np.concatenate([y for x in ids for y in (x.astype(np.int32), np.array([len(place)], np.int32))])
         base = np.log10((total + 0.1) / (known["tokens"] + 0.1 * (known["distinct"] + 1)))
         rare = np.where(kind == shape.outputs - 1, np.log((total + 0.1) / (known["rare_tokens"] + 0.1 * (known["rare_distinct"] + 1))), 0.0)
         w = kind[every]
         c1, c2 = contexts(w, first, shape.outputs)
-        model = first_scores[c1, w] + second_scores[c2, w] - norm[c1, c2] + rare[every]
+        model = first_scores[c1, w]
+        model += second_scores[c2, w]
+        model -= norm[c1, c2]
+        model += rare[every]
         return pa.table(
             {
                 "doc_id": docs["doc_id"],
