@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import chunks, column, utf8, written
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 DIM, BATCH, NOISE, ROUNDS = 16, 8192, 32, 2
 #: Noise words to each word, in expectation; a batch's are drawn once for all its positions.
 _RATIO = 8.0
