@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import chunks, column, utf8, written
 
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 1_200_000
+#: Words whose ids a worker keeps, besides as many pre-tokens; beyond that only short ones, which are the frequent ones, stay.
+CACHE_WORDS, SHORT = 300_000, 7
 #: Characters below U+0250 without the capital dotted I, whose lower case is two characters.
 PLAIN = re.compile("[\\x00-\\u012f\\u0131-\\u024f]*")
 #: Fixed value: the pre-tokens of the vocabulary.
@@ -68,10 +68,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
+        self.known, self.parts = _trimmed(self.known), _trimmed(self.parts)
         new = words.difference(self.known)
         plain = {}
         for w in new:
@@ -87,6 +84,13 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
+def _trimmed(cache: dict[str, bytes]) -> dict[str, bytes]:
+    if len(cache) <= CACHE_WORDS:
+        return cache
+    short = {k: v for k, v in cache.items() if len(k) <= SHORT}
+    return short if len(short) <= CACHE_WORDS // 2 else {}
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _cache:
         _cache[path] = WordEncoder(path)
