@@ -1,9 +1,9 @@
 import pytest
-from leafmill.plans import core, text, work
+from leafmill.plans import core, life, text, work
 from oracle import assert_matches
 
-QUERIES = core.QUERIES | text.QUERIES | work.QUERIES
-ORACLES = core.ORACLES | text.ORACLES | work.ORACLES
+QUERIES = core.QUERIES | text.QUERIES | work.QUERIES | life.QUERIES
+ORACLES = core.ORACLES | text.ORACLES | work.ORACLES | life.ORACLES
 #: Their inputs make no row at the smallest scale.
 MAY_BE_EMPTY = {"passage_to_page", "deleted_captures", "patched_overlap"}
 
