@@ -18,14 +18,7 @@ PAGE = (
 VIDEO = "id string, path string, direction string, rotate int, fps_actual double, nb_frames long, width int, height int, duration double"
 
 
-def _struct(fields: str) -> str:
-    """A field list 'a int, b array<int>' as struct<a:int,b:array<int>>."""
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(fields).simpleString()
-
-
-MANIFEST = f"version int, created_at string, book struct<title:string,author:string,isbn:string,publisher:string,year:string,expected_pages:int>, videos array<{_struct(VIDEO)}>, pages array<{_struct(PAGE)}>"
+MANIFEST = f"version int, created_at string, book struct<title:string,author:string,isbn:string,publisher:string,year:string,expected_pages:int>, videos array<struct<{VIDEO}>>, pages array<struct<{PAGE}>>"
 PROOF = "title string, base_hash string, status string, proofed_md string, heavy boolean, applied int, findings array<struct<type:string,severity:string,quote:string,replacement:string,note:string,source:string,apply_all:boolean,reference:boolean,user_edit:boolean,rejected:boolean,applied:boolean,skip_reason:string>>"
 ACCESS = "ts double, method string, path string, status int, ms double"
 
@@ -61,7 +54,7 @@ def videos(manifest: DataFrame) -> DataFrame:
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:
     """workspace-relative page id and its whole text."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"(.+)\.md$", 1).alias("page_id"), F.col("value").alias("text"))
 
 
