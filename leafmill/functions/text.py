@@ -114,3 +114,59 @@ def figure_reference(text: Column, index: Column, link: Column) -> Column:
 
 def unresolved_placeholders(c: Column) -> Column:
     return F.regexp_replace(c, r"\[\[region-\d+\]\]\n?", "")
+
+
+_UNITS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+
+
+def roman(n: int) -> str:
+    out = ""
+    for value, digits in ((10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
+        out += digits * (n // value)
+        n %= value
+    return out
+
+
+def number_title(n: Column, style: Column) -> Column:
+    """Chapter n up to 20 as 'caps' (THREE), 'title' (Three) or 'roman' (III); 'Chapter n' otherwise."""
+    pick = lambda words: F.try_element_at(F.array(*map(F.lit, words)), n)
+    name = (
+        F.when(style == "caps", pick([u.upper() for u in _UNITS])).when(style == "title", pick([u.title() for u in _UNITS]))
+        .when(style == "roman", pick([roman(k) for k in range(1, 21)]))
+    )
+    return F.coalesce(F.when(n.between(1, 20), name), F.concat(F.lit("Chapter "), n.cast("string")))
+
+
+def title_style(c: Column) -> Column:
+    """How a heading names its number: caps, title or roman; null if it doesn't."""
+    s = strip(F.regexp_replace(c, r"^#{1,6}\s+", ""))
+    inside = lambda words: s.isin(*words)
+    return F.when(inside([roman(k) for k in range(1, 21)]), "roman").when(inside([u.upper() for u in _UNITS]), "caps").when(inside([u.title() for u in _UNITS]), "title")
+
+
+def heavy(base: Column, new: Column) -> Column:
+    """Whether an edit changed a text's length by over 200 characters and over 5 %."""
+    return F.abs(F.length(new) - F.length(base)) > F.greatest(F.lit(200.0), F.length(base) * 0.05)
+
+
+def device_fit(width: Column, height: Column, most_width: int, most_height: int) -> Column:
+    """Factor of at most 1 by which an image fits a screen."""
+    return F.least(F.lit(1.0), most_width / width, most_height / height)
+
+
+def upside_down(reply: Column) -> Column:
+    """The truth value of an orientation reply, null if it has none."""
+    body = F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit(""))
+    v = F.try_variant_get(F.try_parse_json(body), "$.upside_down", "variant")
+    return F.when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+
+
+def figure_caption(text: Column, alt: Column, after: int = 400) -> Column:
+    """A figure's alt text as caption, null where the text after the figure already says it."""
+    return F.when((alt != "") & ~F.contains(F.lower(F.substring(text, 1, after)), F.lower(alt)), alt)
+
+
+def toc_link(title: Column, number: Column, known: Column) -> Column:
+    """A contents line as list item, linked where the chapter is known."""
+    shown = F.concat_ws(" ", title, number.cast("string"))
+    return F.concat(F.lit("- "), F.when(known.isNotNull(), F.concat(F.lit("["), shown, F.lit("]("), known, F.lit(")"))).otherwise(shown))

@@ -191,3 +191,15 @@ def assemble(lines: DataFrame, numbers: DataFrame, sections: DataFrame, suppress
 
 def page_lines(texts: DataFrame) -> DataFrame:
     return texts.select("book_id", "page_ord", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def restyle_titles(headings: DataFrame) -> DataFrame:
+    """headings(book_id, ch_no, title, inserted): inserted 'Chapter n' titles in the style that two or more others share."""
+    from leafmill.functions.text import number_title, title_style
+
+    own = headings.where(~F.col("inserted")).withColumn("style", title_style(F.col("title"))).where("style is not null")
+    counts = own.groupBy("book_id", "style").agg(F.count("*").alias("n")).where("n >= 2")
+    style = counts.groupBy("book_id").agg(F.max_by("style", F.struct("n", "style")).alias("style"))
+    rows = headings.join(style, "book_id", "left")
+    new = F.when(F.col("inserted") & F.col("title").rlike("^Chapter [0-9]+$"), number_title(F.col("ch_no"), F.coalesce("style", F.lit("")))).otherwise(F.col("title"))
+    return rows.withColumn("title", new).drop("style")

@@ -68,3 +68,33 @@ def segments(chapters: DataFrame, quotes: DataFrame, voices: DataFrame) -> DataF
 
     rows = chapters.join(listed, "chapter", "left").select("chapter", F.posexplode(cut("text", "spans")).alias("part", "x"))
     return rows.select("chapter", "part", "x.*")
+
+
+def by_title_or_place(rows: DataFrame, chapters: DataFrame) -> DataFrame:
+    """rows(book_id, idx, title, ...) with ch_idx of chapters(book_id, ch_idx, title): same title, else same place."""
+    first = chapters.groupBy("book_id", "title").agg(F.min("ch_idx").alias("by_title"))
+    places = chapters.select("book_id", F.col("ch_idx").alias("idx"), F.col("ch_idx").alias("by_place"))
+    out = rows.join(first, ["book_id", "title"], "left").join(places, ["book_id", "idx"], "left")
+    return out.withColumn("ch_idx", F.coalesce("by_title", "by_place")).drop("by_title", "by_place")
+
+
+def resolve_voices(wanted: DataFrame, own: DataFrame, shared: DataFrame) -> DataFrame:
+    """wanted(book_id, voice) with path: the book's own recording, else the shared one, else null."""
+    a = own.select("book_id", "voice", F.col("path").alias("own_path"))
+    b = shared.select("voice", F.col("path").alias("shared_path"))
+    return wanted.join(a, ["book_id", "voice"], "left").join(b, "voice", "left").select("book_id", "voice", F.coalesce("own_path", "shared_path").alias("path"))
+
+
+def carry_voices(cast: DataFrame, before: DataFrame) -> DataFrame:
+    """cast(speaker, ...) with the voice that before(speaker, voice) gave each name, '' if none."""
+    return cast.join(before.select("speaker", "voice"), "speaker", "left").fillna("", ["voice"])
+
+
+def chapter_metadata(pieces: DataFrame, keys: list[str], order: str, speed: float = 1.0) -> DataFrame:
+    """One text per book: chapter marks in the metadata form that audio containers take, from pieces(title, seconds)."""
+    from leafmill.functions.text import meta_escape
+
+    rows = markers(pieces, keys, order, speed).join(pieces.select(*keys, order, "title"), [*keys, order])
+    block = F.concat(F.lit("[CHAPTER]\nTIMEBASE=1/1000\nSTART="), "start_ms", F.lit("\nEND="), "end_ms", F.lit("\ntitle="), meta_escape(F.col("title")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("b")))), lambda x: x["b"])
+    return rows.groupBy(*keys).agg(F.concat(F.lit(";FFMETADATA1\n"), F.array_join(listed, "\n"), F.lit("\n")).alias("metadata"))

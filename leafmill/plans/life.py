@@ -106,3 +106,79 @@ def figure_clusters(spark, sf_dir):
 @query("select doc_id as id, case when doc_id % 4 = 0 then '# Part' || chr(10) || chr(10) else '' end || 'Text of page ' || doc_id || '.' as markdown, 'high' as confidence, cast(null as varchar) as transcribe_error, case when doc_id % 5 = 0 or doc_id % 11 = 0 then 'mock_strong' else 'mock' end as read_by from documents")
 def read_pages(spark, sf_dir):
     return captures.read_pages(fx.load(spark, sf_dir, "documents").selectExpr("doc_id as id", "cast(text as binary) as image"))
+
+
+WORDS20 = "['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen', 'twenty']"
+
+
+@query(
+    "select n_regionkey as book_id, n_nationkey as ch_no, case when n_nationkey % 4 = 0 and n_regionkey > 0 and n_nationkey between 1 and 20 then (case n_regionkey % 2 when 1 then upper(w) else upper(w[1:1]) || w[2:] end)"
+    f" when n_nationkey % 4 = 0 then 'Chapter ' || n_nationkey when n_regionkey = 0 then 'Prologue' when n_nationkey between 1 and 20 then (case n_regionkey % 2 when 1 then upper(w) else upper(w[1:1]) || w[2:] end) else 'Else' end as title from (select *, {WORDS20}[n_nationkey] as w from nation)"
+)
+def restyled_titles(spark, sf_dir):
+    from leafmill.functions.text import number_title
+    from leafmill.operators import assemble
+
+    rows = fx.load(spark, sf_dir, "nation").selectExpr("n_regionkey as book_id", "n_nationkey as ch_no", "n_nationkey % 4 = 0 as inserted")
+    own = F.when(F.col("book_id") == 0, "Prologue").when(F.col("ch_no").between(1, 20), number_title(F.col("ch_no"), F.when(F.col("book_id") % 2 == 1, "caps").otherwise("title"))).otherwise("Else")
+    rows = rows.withColumn("title", F.when(F.col("inserted"), F.concat(F.lit("Chapter "), "ch_no")).otherwise(own))
+    return assemble.restyle_titles(rows).select("book_id", "ch_no", "title")
+
+
+@query("select doc_id, cast(doc_id % 4 as int) as idx, case when doc_id % 3 = 0 then doc_id % 20 else doc_id % 4 end as ch_idx from documents")
+def cast_chapters(spark, sf_dir):
+    from leafmill.operators import narrate
+
+    docs = fx.load(spark, sf_dir, "documents")
+    titled = spark.range(20).selectExpr("0 as book_id", "id as ch_idx", "concat('T', id) as title")
+    rows = docs.selectExpr("doc_id", "0 as book_id", "cast(doc_id % 4 as int) as idx", "if(doc_id % 3 = 0, concat('T', doc_id % 20), 'none') as title")
+    return narrate.by_title_or_place(rows, titled).select("doc_id", "idx", "ch_idx")
+
+
+@query("select c_nationkey as book_id, c_custkey as voice, case when c_custkey % 2 = 0 then 'own' when c_custkey % 3 = 0 then 'shared' end as path from customer")
+def voice_paths(spark, sf_dir):
+    from leafmill.operators import narrate
+
+    wanted = fx.load(spark, sf_dir, "customer").selectExpr("c_nationkey as book_id", "c_custkey as voice")
+    own = wanted.where("voice % 2 = 0").withColumn("path", F.lit("own"))
+    return narrate.resolve_voices(wanted, own, wanted.where("voice % 3 = 0").select("voice", F.lit("shared").alias("path")))
+
+
+@query()
+def chapter_metadata(spark, sf_dir):
+    from leafmill.operators import narrate
+
+    rows = fx.load(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "concat('a=', turn) as title", "length(text) / 16.0D as seconds")
+    return narrate.chapter_metadata(rows, ["conv_id"], "turn", 1.25)
+
+
+@query("select doc_id, abs(length(text) // 2 - length(text)) > greatest(200.0, length(text) * 0.05) as heavy from documents")
+def heavy_edits(spark, sf_dir):
+    from leafmill.functions.text import heavy
+
+    return fx.load(spark, sf_dir, "documents").select("doc_id", heavy(F.col("text"), F.expr("left(text, length(text) div 2)")).alias("heavy"))
+
+
+@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, round(least(1.0, 1404 / (l_quantity * 100), 1872 / (l_extendedprice / 10)), 6) as fit from lineitem")
+def device_fits(spark, sf_dir):
+    from leafmill.functions.text import device_fit
+
+    rows = fx.load(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(device_fit(F.col("l_quantity") * 100, F.col("l_extendedprice") / 10, 1404, 1872), 6).alias("fit"))
+
+
+@query("select event_id, case event_id % 4 when 0 then 'true' when 1 then 'false' end as down from events")
+def orientation_replies(spark, sf_dir):
+    from leafmill.functions.text import upside_down
+
+    reply = F.expr("case event_id % 4 when 0 then 'ok {\"upside_down\": true}' when 1 then '{\"upside_down\": false}' when 2 then '{\"upside_down\": \"yes\"}' else 'none' end")
+    return fx.load(spark, sf_dir, "events").select("event_id", upside_down(reply).cast("string").alias("down"))
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then 'A caption' end as caption, case when doc_id % 3 = 0 then '- [One 4](c1.xhtml)' else '- One 4' end as link from documents")
+def captions_and_links(spark, sf_dir):
+    from leafmill.functions.text import figure_caption, toc_link
+
+    docs = fx.load(spark, sf_dir, "documents")
+    after = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("say a CAPTION. "), F.col("text")))
+    return docs.select("doc_id", figure_caption(after, F.lit("A caption")).alias("caption"), toc_link(F.lit("One"), F.lit(4), F.when(F.col("doc_id") % 3 == 0, "c1.xhtml")).alias("link"))
