@@ -114,7 +114,11 @@ def fit_language_model(texts: list[bytes], languages: list[str], epochs: int = 1
 
 
 def learn_languages(docs: DataFrame, training: Column, rows_per_language: int = 500) -> LanguageModel:
-    """Fits on at most rows_per_language labelled rows of each language, chosen by a hash of doc_id."""
+    """Fits on at most rows_per_language labelled rows of each language, chosen by a hash of doc_id.
+
+    Rows without text, lang or doc_id are not learned from; without any, every text is ``und``.
+    What is gathered is rows_per_language times the number of languages.
+    """
     ids = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_language).select("doc_id").distinct().collect()

@@ -266,7 +266,7 @@ def score_documents(docs: DataFrame, classes: int = 1024) -> DataFrame:
 
     docs needs doc_id, text and the boolean train, which says what to learn from (null: not).
     A null or empty text is an end alone.  With no training documents all counts are 0, base
-    and model are uniform.  Repeated rows give one row each; other columns are ignored; an
+    and model are uniform.  Repeated rows and rows without doc_id give one row each; other columns are ignored; an
     empty table gives no rows.  Scores are log10 probabilities.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("train", F.lit(False)).alias("train"), "text")

@@ -201,9 +201,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, ba
 
     docs needs doc_id (long, unique) and text.  Null and empty texts have an empty set, are
     linked with nothing and are kept.  Repeated rows of one doc_id give one row each with the
-    same class.  Other columns are ignored; an empty table gives an empty result.
+    same class.  Rows without doc_id are left out; other columns are ignored; an empty table
+    gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = written(
         docs.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, digest binary, keys array<long>"),
         "sketch",

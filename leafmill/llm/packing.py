@@ -101,6 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     """Pieces of the tokens of docs(doc_id, text): doc_id, piece, start, length, ids_crc32[, ids].
 
     A text's ids are followed by end_id; a null text has that alone.  Only longer ones are cut.
+    Rows without doc_id or with one that others have too are packed like any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

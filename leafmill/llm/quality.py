@@ -129,7 +129,11 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, training: Column, fit_rows: int = 12000) -> Trees:
-    """Fits on the statistics of at most fit_rows labelled documents, chosen by a hash of doc_id."""
+    """Fits on the statistics of at most fit_rows labelled documents, chosen by a hash of doc_id.
+
+    Labels that are null or have no document are not learned from; with one kind of label or
+    none the score is constant.
+    """
     spark = docs.sparkSession
     chosen = labels.where(training & F.col("quality").isNotNull()).select("doc_id", "quality")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows).collect()
