@@ -1,7 +1,10 @@
 """Language-model scoring: a log-bilinear model trained by noise-contrastive estimation.
 
-Outputs are the document end, the ``classes`` most frequent training words, and one class
-for all other words, within which a word has its smoothed share of the training counts.
+Outputs are the document end, the most frequent training words, and classes of all other
+words by their endings, within which a word has its smoothed share of the training counts.
+Both kinds of classes grow with the number of distinct training words, by its cube root: the
+normalisers of all pairs of contexts grow with the square of the classes, and so with less
+than the words.
 The two preceding classes predict the next through class vectors: the score of class w
 after (c1, c2) is r_w . (q_c1 C1 + q_c2 C2) + b_w.  Since it is a sum of one term per
 context place, the normalisers of all contexts are one matrix product of exponentials.
@@ -17,15 +20,17 @@ words and a frequent word costs one row a block.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import chunks, column, utf8, written
@@ -34,18 +39,25 @@ BLOCK_BYTES = 12 << 20
 DIM, BATCH, NOISE, ROUNDS = 16, 8192, 32, 2
 #: Noise words to each word, in expectation; a batch's are drawn once for all its positions.
 _RATIO = 8.0
+#: Classes by ending to the cube root of the distinct training words.
+ENDINGS = 4
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 @dataclass
 class Shape:
-    """The classes: 0 the end, 1..n the frequent words, n + 1 the others, n + 2 the start (context only)."""
+    """The classes: 0 the end, 1..n the frequent words, then those by ending, and the start (context only)."""
 
     words: dict[bytes, int]
     share: np.ndarray  # unigram probability of each output class
 
     @property
     def outputs(self) -> int:
-        return len(self.words) + 2
+        return len(self.share)
+
+    @property
+    def endings(self) -> int:
+        return len(self.share) - len(self.words) - 1
 
 
 class LogBilinear:
@@ -98,7 +110,9 @@ class LogBilinear:
         first = q @ c1 @ r.T
         second = q @ c2 @ r.T + b
         t1, t2 = first.max(1, keepdims=True), second.max(1, keepdims=True)
-        norm = np.log(np.exp(first - t1) @ np.exp(second - t2).T) + t1 + t2.T
+        norm, right = np.empty((len(q), len(q))), np.exp(second - t2).T
+        for s in range(0, len(q), 512):
+            norm[s : s + 512] = np.log(np.exp(first[s : s + 512] - t1[s : s + 512]) @ right) + t1[s : s + 512] + t2.T
         return first, second, norm
 
 
@@ -169,14 +183,20 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Classes(dict):
-    """Classes of words, with one for all that are missing."""
+    """Classes of words, by ending for all that are missing."""
 
-    def __init__(self, words: dict[bytes, int], other: int):
-        super().__init__(words)
-        self.other = other
+    def __init__(self, shape: Shape):
+        super().__init__(shape.words)
+        self.first, self.endings, self.marks = len(shape.words) + 1, shape.endings, _MARKS.encode()
 
     def __missing__(self, word: bytes) -> int:
-        return self.other
+        return self.first + crc32(word.rstrip(self.marks)[-3:]) % self.endings
+
+
+def ending_class(word: Column, endings: int) -> Column:
+    """The number of a word's class by ending: as _Classes, of the last three bytes before marks."""
+    stem = F.rtrim(word.cast("string"), F.lit(_MARKS)).cast("binary")
+    return (F.crc32(F.substring(stem, -3, 3)) % endings).cast("int")
 
 
 def _fit(shape: Shape, flat: np.ndarray | None, seed: int, rate: float):
@@ -184,8 +204,8 @@ def _fit(shape: Shape, flat: np.ndarray | None, seed: int, rate: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rng, seen = LogBilinear(shape.share, flat), np.random.default_rng(seed), 0
-        other, start = shape.outputs - 1, shape.outputs
-        lookup = _Classes(shape.words, other).__getitem__
+        start = shape.outputs
+        lookup = _Classes(shape).__getitem__
         for part in chunks(batches, "text", 1 << 20):
             docs = [tokens(t) for t in utf8(column(part, "text"))]
             size = np.array([len(d) + 1 for d in docs])
@@ -225,7 +245,7 @@ def _score(shape: Shape, flat: np.ndarray, known: dict):
         key = flat.tobytes()[:256]
         if key not in _tables:
             _tables.clear()
-            _tables[key] = LogBilinear(shape.share, flat).tables()
+            _tables[key] = tuple(x.astype(np.float32) for x in LogBilinear(shape.share, flat).tables())
         first_scores, second_scores, norm = _tables[key]
         if not docs.num_rows:
             return pa.table({n: pa.array([], t) for n, t in SCORED})
@@ -239,13 +259,15 @@ def _score(shape: Shape, flat: np.ndarray, known: dict):
         first = ends - size
         every = np.concatenate([y for x in ids for y in (x.astype(np.int32), np.array([len(place)], np.int32))])
         base = np.log10((total + 0.1) / (known["tokens"] + 0.1 * (known["distinct"] + 1)))
-        rare = np.where(kind == shape.outputs - 1, np.log((total + 0.1) / (known["rare_tokens"] + 0.1 * (known["rare_distinct"] + 1))), 0.0)
+        by_ending = kind - (len(shape.words) + 1)
+        mass = known["rare_tokens"] + 0.1 * (known["rare_distinct"] + 1)
+        rare = np.where(by_ending >= 0, np.log((total + 0.1) / mass[np.maximum(by_ending, 0)]), 0.0)
         w = kind[every]
         c1, c2 = contexts(w, first, shape.outputs)
         model = first_scores[c1, w]
         model += second_scores[c2, w]
         model -= norm[c1, c2]
-        model += rare[every]
+        model = model + rare[every]
         return pa.table(
             {
                 "doc_id": docs["doc_id"],
@@ -266,7 +288,8 @@ def score_documents(docs: DataFrame, classes: int = 1024) -> DataFrame:
 
     docs needs doc_id, text and the boolean train, which says what to learn from (null: not).
     A null or empty text is an end alone.  With no training documents all counts are 0, base
-    and model are uniform.  Repeated rows and rows without doc_id give one row each; other columns are ignored; an
+    and model are uniform.  classes is the least number of words, if there are so many, with
+    a class each.  Repeated rows and rows without doc_id give one row each; other columns are ignored; an
     empty table gives no rows.  Scores are log10 probabilities.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("train", F.lit(False)).alias("train"), "text")
@@ -275,19 +298,28 @@ def score_documents(docs: DataFrame, classes: int = 1024) -> DataFrame:
     totals = written(local.groupBy("word").agg(F.sum("n").alias("total")), "totals")
     n_docs = both.where("place is null and train").count()
     n_words, n_distinct = totals.where("total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    top = totals.where("total > 0").orderBy(F.desc("total"), "word").limit(classes).collect()
-    inside = sum(r["total"] for r in top)
-    frequency = np.array([n_docs, *(r["total"] for r in top), n_words - inside], float) + 0.5
-    shape = Shape({bytes(r["word"]): k + 1 for k, r in enumerate(top)}, frequency / frequency.sum())
+    root = math.ceil(n_distinct ** (1 / 3))
+    top = totals.where("total > 0").orderBy(F.desc("total"), "word").limit(classes + root).collect()
+    endings = max(1, ENDINGS * root)
+    rare = np.zeros((2, endings), np.int64)
+    by_ending = totals.where("total > 0").groupBy(ending_class(F.col("word"), endings).alias("e")).agg(F.sum("total").alias("t"), F.count("*").alias("n"))
+    for r in by_ending.collect():
+        rare[:, r["e"]] = r["t"], r["n"]
+    words = {bytes(r["word"]): k + 1 for k, r in enumerate(top)}
+    own = _Classes(Shape({}, np.zeros(endings + 1)))
+    for r in top:
+        rare[:, own[bytes(r["word"])] - 1] -= r["total"], 1
+    frequency = np.array([n_docs, *(r["total"] for r in top), *rare[0]], float) + 0.5
+    shape = Shape(words, frequency / frequency.sum())
     known = {
         "docs": n_docs, "tokens": n_words + n_docs, "distinct": n_distinct + (n_docs > 0),
-        "rare_tokens": n_words - inside, "rare_distinct": n_distinct - len(top),
+        "rare_tokens": rare[0], "rare_distinct": rare[1],
     }
     model = fit(docs.where("train"), shape)
     spark = docs.sparkSession
     named = spark.createDataFrame([(w, k) for w, k in shape.words.items()], "word binary, class int")
     counts = local.select("block", "word", "place").join(totals, "word")
-    counts = counts.join(F.broadcast(named), "word", "left").select(F.col("block").alias("b"), "place", "total", F.coalesce("class", F.lit(shape.outputs - 1)).alias("class"))
+    counts = counts.join(F.broadcast(named), "word", "left").select(F.col("block").alias("b"), "place", "total", F.coalesce("class", len(words) + 1 + ending_class(F.col("word"), endings)).alias("class"))
     rows = both.where("place is null").select("block", "doc_id", "train", "ids")
     # A block without any word has no dictionary rows; cogrouping keeps it.
     scored = rows.groupBy("block").cogroup(counts.groupBy("b")).applyInArrow(

@@ -306,3 +306,24 @@ def test_model_is_a_distribution():
     for a in range(4):
         for b in range(4):
             assert np.exp(first[a] + second[b] - norm[a, b]).sum() == pytest.approx(1)
+
+
+def test_rare_words_have_classes(spark):
+    rng = random.Random(8)
+    rare = lambda end: "".join(rng.choice("bcdfg") for _ in range(6)) + end
+    ends = {"left": "ing", "right": "ado"}
+    texts = [" ".join(f"{k} {rare(ends[k])}" for k in rng.choices(["left", "right"], k=40)) for _ in range(300)]
+    train = [True] * 300 + [False] * 3
+    texts += ["left zzzzing right zzzzado", "left zzzzado right zzzzing", ""]
+    out = lm.score_documents(docs(spark, texts, train=train), classes=2).orderBy("doc_id").collect()
+    fit, unfit = out[300].score, out[301].score
+    assert out[300].base_score == pytest.approx(out[301].base_score)
+    assert fit > unfit + 0.1
+
+
+def test_ending_classes_agree(spark):
+    words = ["", "a", "ab.", "...", "é", "xé!!", "漢字", "word,***", "-x-", "a\x1cb", "w" * 300, "x\u2028"]
+    table = spark.createDataFrame([(bytearray(w.encode()),) for w in words], "word binary")
+    got = [r.e for r in table.select(lm.ending_class(F.col("word"), 97).alias("e")).collect()]
+    own = lm._Classes(lm.Shape({}, np.zeros(98)))
+    assert got == [own[w.encode()] - 1 for w in words]
