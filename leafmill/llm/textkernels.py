@@ -98,12 +98,13 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
     doc = np.repeat(np.arange(len(texts)), counts)
     short = (counts > 0) & (counts < width)
     n = len(words)
-    shingles = np.zeros(max(0, n - width + 1), dtype=np.uint64)
+    m = max(0, n - width + 1)
+    shingles = np.zeros(m, dtype=np.uint64)
     for k in range(width):
         shingles *= np.uint64(_R)
-        shingles += words[k : n - width + 1 + k]
-    keep = doc[: n - width + 1] == doc[width - 1 :] if n >= width else np.zeros(0, dtype=bool)
-    h, d = mix(shingles[keep]), doc[: max(0, n - width + 1)][keep]
+        shingles += words[k : k + m]
+    keep = doc[:m] == doc[width - 1 : width - 1 + m]
+    h, d = mix(shingles[keep]), doc[:m][keep]
     if short.any():
         begin = np.cumsum(counts) - counts
         ids = np.flatnonzero(short)

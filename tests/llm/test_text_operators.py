@@ -327,3 +327,14 @@ def test_ending_classes_agree(spark):
     got = [r.e for r in table.select(lm.ending_class(F.col("word"), 97).alias("e")).collect()]
     own = lm._Classes(lm.Shape({}, np.zeros(98)))
     assert got == [own[w.encode()] - 1 for w in words]
+
+
+@pytest.mark.parametrize("n", range(8))
+def test_few_words_alone(n):
+    hashes, counts = shingle_sets([b" ".join([b"a", b"b", b"c", b"d", b"e", b"f", b"g"][:n])])
+    assert len(hashes) == counts.sum() == (0 if n == 0 else max(1, n - 4))
+
+
+def test_one_document_of_three_words(spark):
+    rows = near_dup.near_duplicates(docs(spark, ["a b c"]).coalesce(1)).collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows] == [(0, 1, 0, True)]
