@@ -210,6 +210,31 @@ def prompt_echo(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha1(text.strip_echo(md).cast("binary")).alias("digest"))
 
 
+@query("select doc_id, case when s = '' then 'book' else s end as slug from (select doc_id, substring(trim(regexp_replace(regexp_replace(lower(trim(replace(text, chr(10), ' '))), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '-'), 1, 60) as s from documents)")
+def slugs_whole(spark, sf_dir):
+    """slugs over whole texts."""
+    return documents(spark, sf_dir).select("doc_id", text.slug(F.replace("text", F.lit("\n"), F.lit(" "))).alias("slug"))
+
+
+@query("select doc_id, sha1(regexp_replace(trim(regexp_replace(text, '[^\\p{L}\\p{N}_\\s.-]', '', 'g'), ' ' || chr(10)), '\\s+', '_', 'g')) as digest from documents")
+def markdown_slugs_whole(spark, sf_dir):
+    """markdown_slugs over whole texts, as digests."""
+    return documents(spark, sf_dir).select("doc_id", F.sha1(text.markdown_slug(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("select doc_id, sha1(regexp_replace(text || '=;#\\', '([=;#\\\\\\n])', '\\\\\\1', 'g')) as digest from documents")
+def meta_escape_whole(spark, sf_dir):
+    """meta_escape over whole texts, as digests."""
+    return documents(spark, sf_dir).select("doc_id", F.sha1(text.meta_escape(F.concat("text", F.lit("=;#\\"))).cast("binary")).alias("digest"))
+
+
+@query("select doc_id, sha1(rtrim(text, ' ' || chr(10))) as digest from documents")
+def prompt_echo_whole(spark, sf_dir):
+    """prompt_echo over the whole of every text."""
+    md = F.concat("text", F.lit("\nRules:\n Transcribe ONLY the flat page. OMIT running headers"))
+    return documents(spark, sf_dir).select("doc_id", F.sha1(text.strip_echo(md).cast("binary")).alias("digest"))
+
+
 @query("select doc_id, case doc_id % 6 when 0 then 'image' when 1 then 'h1' when 2 then 'h2' when 3 then 'quote' when 4 then 'list' else 'para' end as kind from documents")
 def block_kinds(spark, sf_dir):
     mark = "case doc_id % 6 when 0 then '![f](x.png) ' when 1 then '# ' when 2 then '### ' when 3 then '> ' when 4 then '12. ' else '' end"
