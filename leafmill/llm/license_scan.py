@@ -7,7 +7,8 @@ shingles, which are windows of one.  A template window that a document holds unc
 collides for certain as soon as one of the document's windows lies inside it, and one at
 Jaccard similarity s with probability 1 - (1 - s)^BANDS (0.998 at 0.8), over each of the
 template's windows.  Retrieved templates are confirmed by the exact share of their distinct
-shingles that the document holds.
+shingles that the document holds.  Templates with fewer words than a shingle are joined by
+their whole word sequence.
 """
 
 from __future__ import annotations
@@ -54,6 +55,13 @@ TEMPLATES = {
     ),
 }
 
+#: Notices with fewer words than a shingle.
+SHORT_NOTICES = {"all-rights-reserved-notice": "All rights reserved."}
+
+
+def short_notices(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SHORT_NOTICES.items()), "template_id string, text string")
+
 
 def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES.items()), "template_id string, text string")
@@ -82,20 +90,31 @@ def _band_keys(h: Column, stride: int) -> Column:
     return F.when(F.size(h) >= WINDOW, F.flatten(F.array(*map(band, range(BANDS))))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _short_matches(rows: DataFrame, short: DataFrame, widths: list[int]) -> DataFrame:
+    """Rows (doc_id, w) that hold a template's whole word sequence; short has template_id and w."""
+    w, n = F.col("w"), F.size("w")
+    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    held = rows.select("doc_id", F.explode(F.concat(*map(runs, widths))).alias("run"))
+    known = short.select("template_id", F.array_join("w", " ").alias("run"))
+    found = held.join(F.broadcast(known) if fits_broadcast(known, "run") else known, "run")
+    return found.select("doc_id", "template_id", F.lit(1).alias("n_shared"), F.lit(1).alias("n_shingles"))
+
+
 def license_matches(docs: DataFrame, templates: DataFrame | None = None, percent: int = 75) -> DataFrame:
     """(doc_id, template_id, n_shared, n_shingles): templates of which a document holds percent or more.
 
     docs needs doc_id and text; templates template_id and text.  Shared are the template's
     distinct word shingles that occur anywhere in the document.  Null and empty texts match
-    nothing, nor do templates without words; a document with fewer words than a shingle
-    matches a template only if their whole sequences are equal.  Repeated documents give one
+    nothing, nor do templates without words.  A template with fewer words than a shingle is
+    one shingle, which a document holds if it has those words in a row anywhere.  Repeated documents give one
     row.  Rows without an id are left out, other columns are ignored, empty tables give none.
     """
     templates = default_templates(docs.sparkSession) if templates is None else templates
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     known = templates.where("template_id is not null").select("template_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    known = known.select("template_id", F.array_distinct(shingles(F.col("w"), WIDTH)).alias("grams"), shingle_hashes(F.col("w")).alias("h"))
-    known = written(known, "templates")
+    known = written(known.select("template_id", "w", F.array_distinct(shingles(F.col("w"), WIDTH)).alias("grams"), shingle_hashes(F.col("w")).alias("h")), "templates")
+    short, known = known.where(F.size("w") < WIDTH).select("template_id", "w"), known.where(F.size("w") >= WIDTH).drop("w")
+    widths = sorted(r[0] for r in short.select(F.size("w")).distinct().collect())
     long = F.size("h") >= WINDOW + STRIDE - 1
     keys = known.select("template_id", F.explode(F.when(long, _band_keys(F.col("h"), 1)).otherwise(F.array_distinct("h"))).alias("key"), long.alias("long")).distinct()
     keys = written(keys, "keys")
@@ -114,4 +133,6 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, percent
         found = pairs.join(docs.dropDuplicates(["doc_id"]), "doc_id").join(known, "template_id")
         found = found.select("doc_id", "template_id", shared(words(F.col("text"))).alias("n_shared"), F.size("grams").alias("n_shingles"))
     found = found.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
+    if widths:
+        found = found.unionByName(_short_matches(rows.select("doc_id", "w"), short, widths))
     return found.groupBy("doc_id", "template_id").agg(F.max("n_shared").cast("long").alias("n_shared"), F.max("n_shingles").cast("long").alias("n_shingles"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm.license_scan import TEMPLATES
+from leafmill.llm.license_scan import SHORT_NOTICES, TEMPLATES
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -27,6 +27,11 @@ OP2 = f"""with templates(template_id, text) as (values {_T}), d as ({_shingles("
  select doc_id, template_id, count(*) as n_shared, any_value(n) as n_shingles from d join t using (s) join (select template_id, count(*) as n from t group by 1) using (template_id)
  group by doc_id, template_id having 100 * count(*) >= 75 * any_value(n)"""
 
+_S = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in SHORT_NOTICES.items())
+OP2_SHORT = f"""with templates(template_id, text) as (values {_S}), t as (select template_id, ' ' || array_to_string(regexp_extract_all({_LOW}, {_ALNUM}), ' ') || ' ' as s from templates),
+ d as (select doc_id, ' ' || array_to_string(regexp_extract_all({_LOW}, {_ALNUM}), ' ') || ' ' as x from documents)
+ select distinct doc_id, template_id, 1 as n_shared, 1 as n_shingles from d, t where contains(x, s)"""
+
 OP3 = f"""with d as (select doc_id, regexp_extract_all({_LOW}, {_ALNUM}) as w from documents),
  items as (select cast(item_id as varchar) as item, regexp_extract_all({_LOW}, {_ALNUM}) as w from benchmark),
  windows as (select distinct item, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i:i + 12], ' '))) as p, least(len(w), 13) as k from items where len(w) > 0),
@@ -59,6 +64,7 @@ OP7 = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(
 ORACLES = {
     "op1_minhash_near_dedup": OP1,
     "op2_license_scan": OP2,
+    "op2_short_notices": OP2_SHORT,
     "op3_benchmark_decontamination": OP3,
     "op5_embedding_near_dedup": OP5,
     "op6_warc": OP6,

@@ -12,7 +12,7 @@ from leafmill.llm.common import is_split
 from leafmill.llm.decontaminate import contamination
 from leafmill.llm.embed_dup import embedding_duplicates
 from leafmill.llm.lang_id import learn_languages, predict_languages
-from leafmill.llm.license_scan import license_matches
+from leafmill.llm.license_scan import license_matches, short_notices
 from leafmill.llm.lm import score_documents
 from leafmill.llm.oracles import ORACLES
 from leafmill.llm.near_dup import near_duplicates
@@ -33,6 +33,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(table(spark, sf_dir, "documents"))
 
 
+def op2_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(table(spark, sf_dir, "documents"), short_notices(spark))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

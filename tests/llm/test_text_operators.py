@@ -338,3 +338,16 @@ def test_few_words_alone(n):
 def test_one_document_of_three_words(spark):
     rows = near_dup.near_duplicates(docs(spark, ["a b c"]).coalesce(1)).collect()
     assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows] == [(0, 1, 0, True)]
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_short_notices_anywhere(spark, monkeypatch, limit):
+    monkeypatch.setattr("leafmill.llm.wordcols.BROADCAST_BYTES", limit)
+    texts = [*HOSTILE, "All rights reserved.", "(c) 2020 A. B. ALL RIGHTS\nRESERVED! Foo bar baz qux", "all rights are reserved by all of us", "overall rights reserved", "all rights reserved all rights reserved x", "rights reserved", license_scan.TEMPLATES["MIT"] + " All rights reserved"]
+    short = spark.createDataFrame([("arr", "All rights reserved."), ("one", "Reserved"), ("four", "foo bar baz qux"), ("none", "!"), ("mit", license_scan.TEMPLATES["MIT"])], "template_id string, text string")
+    rows = license_scan.license_matches(docs(spark, texts), short)
+    n = len(HOSTILE)
+    want = {(n + i, "arr") for i in (0, 1, 4, 6)} | {(n + i, "one") for i in (0, 1, 2, 3, 4, 5, 6)} | {(n + 1, "four"), (n + 6, "mit")}
+    got = rows.collect()
+    assert len(got) == len(want) and {(r.doc_id, r.template_id) for r in got} == want
+    assert all(r.n_shared == r.n_shingles == 1 for r in got if r.template_id != "mit")
