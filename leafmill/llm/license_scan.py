@@ -115,7 +115,8 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, percent
     known = written(known.select("template_id", "w", F.array_distinct(shingles(F.col("w"), WIDTH)).alias("grams"), shingle_hashes(F.col("w")).alias("h")), "templates")
     short, known = known.where(F.size("w") < WIDTH).select("template_id", "w"), known.where(F.size("w") >= WIDTH).drop("w")
     widths = sorted(r[0] for r in short.select(F.size("w")).distinct().collect())
-    long = F.size("h") >= WINDOW + STRIDE - 1
+    # A document that holds percent of a long template's shingles has enough for a window.
+    long = (F.size("h") >= WINDOW + STRIDE - 1) & (F.size("grams") * percent >= 100 * WINDOW)
     keys = known.select("template_id", F.explode(F.when(long, _band_keys(F.col("h"), 1)).otherwise(F.array_distinct("h"))).alias("key"), long.alias("long")).distinct()
     keys = written(keys, "keys")
     rows = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)

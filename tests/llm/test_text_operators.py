@@ -351,3 +351,12 @@ def test_short_notices_anywhere(spark, monkeypatch, limit):
     got = rows.collect()
     assert len(got) == len(want) and {(r.doc_id, r.template_id) for r in got} == want
     assert all(r.n_shared == r.n_shingles == 1 for r in got if r.template_id != "mit")
+
+
+@pytest.mark.parametrize("size", [19, 20, 21, 22])
+def test_licenses_in_documents_without_a_window(spark, size):
+    body = [f"w{i}" for i in range(size + 4)]
+    texts = [" ".join(body[:n]) for n in range(14, size + 5)]
+    known = spark.createDataFrame([("x", " ".join(body))], "template_id string, text string")
+    got = {r.doc_id: r.n_shared for r in license_scan.license_matches(docs(spark, texts), known).collect()}
+    assert got == {n - 14: n - 4 for n in range(14, size + 5) if 100 * (n - 4) >= 75 * size}
