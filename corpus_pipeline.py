@@ -38,9 +38,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class."""
+    """Keeps one document of each near-duplicate class.
+
+    Rows without doc_id belong to no class and pass.  Of the rows of one kept doc_id one stays.
+    """
+    columns = docs.columns
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found = docs.join(kept, "doc_id", "left_semi")
+    once = found.join(repeated, "doc_id", "left_anti")
+    one = found.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.where("doc_id is null").unionByName(once.select(columns)).unionByName(one.select(columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

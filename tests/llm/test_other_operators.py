@@ -130,3 +130,12 @@ def test_pipeline(spark, data):
     packed = pipeline.STAGES[-1][1](spark, docs, data)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert packed.where("offset + length > 2048").count() == 0
+
+
+def test_near_dedup_stage_of_missing_and_repeated_ids(spark, data):
+    import corpus_pipeline as pipeline
+
+    rows = [("a b c d e f g", 1), ("a b c d e f g", 1), ("a b c d e f g", 2), ("h i j k l m n", None), ("h i j k l m n", None), ("o p q r s t u", 3)]
+    got = pipeline.near_dedup(spark, spark.createDataFrame(rows, "text string, doc_id long"), data)
+    assert got.columns == ["text", "doc_id"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[4], rows[5]], key=str)
