@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from leafmill.llm import chat, embed_dup, graph, oracles, queries, warc
+from leafmill.llm import chat, embed_dup, graph, oracles, packing, queries, warc
 from oracle import assert_matches
 
 
@@ -132,6 +132,90 @@ def test_pipeline(spark, data):
     assert packed.where("offset + length > 2048").count() == 0
 
 
+STAGE_TEXTS = [None, "", " \n", "a", "!!! ???", "w" * 40000, "word " * 30000]
+
+
+def hostile_docs(spark, data, folder):
+    """Real documents and hostile ones with repeated rows, missing ids, and columns named as the stages name theirs; a folder with labels and benchmark."""
+    real = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(120).collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    rows = real + [(5000 + i, t, None) for i, t in enumerate(STAGE_TEXTS)] + real[:5] + [(None, t, k) for _, t, k in real[:5]] + [(None, None, "en")]
+    rows += [(6000 + i, real[i][1] + " and one more", real[i][2]) for i in range(10)] + [(7000 + i, items[i][1], "en") for i in range(3)]
+    names = ["score", "predicted", "lang_pred", "ambiguous", "n", "count", "term", "component", "kept", "length"]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names)
+    table = spark.createDataFrame([(*r, *(f"{n} {i}" for n in names)) for i, r in enumerate(rows)], schema)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return table, items
+
+
+def as_rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_stages_match_brute_force(spark, data, tmp_path):
+    import re
+
+    import corpus_pipeline as pipeline
+    from leafmill.llm import lang_id, near_dup, quality
+    docs, items = hostile_docs(spark, data, str(tmp_path))
+    folder = str(tmp_path)
+    every = as_rows(docs)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    model = lang_id.learn_languages(docs, ~pipeline.is_split("doc_id", 4, 2))
+    names, score, _ = lang_id.decode(model, [r[1] and r[1].encode() for r in every])
+    assert as_rows(pipeline.language_id(spark, docs, folder)) == [r for r, n, s in zip(every, names, score) if n != "und" and s >= 0.5]
+
+    trees = quality.learn_quality(docs, spark.read.parquet(f"{folder}/labels.parquet"), ~pipeline.is_split("doc_id", 4, 2))
+    good = trees.score(quality.statistics([(r[1] or "").encode() for r in every])) >= 0.7
+    assert as_rows(pipeline.quality(spark, docs, folder)) == [r for r, g in zip(every, good) if g]
+
+    owned = sorted({r[0]: r[1] for r in every if r[0] is not None}.items())
+    sets = []
+    for _, t in owned:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    first = {owned[i][0] for i, c in enumerate(near_dup.exact_links(sets)) if i == c}
+    got = as_rows(pipeline.near_dedup(spark, docs, folder))
+    assert sorted(r[0] for r in got if r[0] is not None) == sorted(first) and set(got) <= set(every)
+    assert [r for r in got if r[0] is None] == [r for r in every if r[0] is None]
+    assert len(first) < len(owned)
+
+    windows = set()
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
+    for _, t in items:
+        w = split(t)
+        windows |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
+    sizes, bad = {len(w) for w in windows}, set()
+    for d, t in owned:
+        w, hit = split(t), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+        if hit and 20 * len(hit) >= len(w):
+            bad.add(d)
+    assert as_rows(pipeline.decontamination(spark, docs, folder)) == [r for r in every if r[0] not in bad]
+    assert {7000, 7001, 7002} <= bad
+
+    whole = packing.WordEncoder(queries.vocabulary()).whole
+    tokens = sorted((str(r[0]), len(whole.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in every)
+    packed = pipeline.packing(spark, docs, folder).collect()
+    assert sum(r.length for r in packed) == sum(n for _, n in tokens)
+    assert {r.doc_id for r in packed} == {r[0] for r in every}
+    used = {}
+    for r in packed:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in used.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 2048
+
+    for name, stage in pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), folder)
+        assert empty.count() == 0 and (name == "packing" or empty.columns == docs.columns)
+
+
 def test_near_dedup_stage_of_missing_and_repeated_ids(spark, data):
     import corpus_pipeline as pipeline
 
