@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import column, written
+from leafmill.llm.common import column, tidy, written
 from leafmill.llm.graph import components, roots
 
 TILE = 2048
@@ -165,25 +165,25 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFra
     ignored; an empty table gives no rows.
     """
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    named = written(rows.mapInArrow(_prepare, "vec_id long, digest binary, v array<double>"), "vectors")
+    named = written(rows.mapInArrow(tidy(_prepare), "vec_id long, digest binary, v array<double>"), "vectors")
     groups = named.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     groups = written(groups, "groups")
     n = groups.count()
     bits = min(20, max(1, math.ceil(math.log2(max(2, n / TILE)))))
     reps = named.join(groups.select("rep", "copies", F.col("digest").alias("d")), (F.col("vec_id") == F.col("rep")) & (F.col("digest") == F.col("d")))
     reps = reps.select("rep", "copies", "v").dropDuplicates(["rep"])
-    placed = written(reps.mapInArrow(_place(bits), "rep long, copies long, v array<double>, dims int, code long"), "placed")
+    placed = written(reps.mapInArrow(tidy(_place(bits)), "rep long, copies long, v array<double>, dims int, code long"), "placed")
     parts = placed.groupBy("dims", "code").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("parts"))
     tiled = placed.join(parts, ["dims", "code"]).withColumn("tile", F.xxhash64("dims", "code", F.pmod(F.xxhash64("rep"), F.col("parts"))))
     tiled = written(tiled.select("tile", "rep", "copies", "v"), "tiled")
-    bounds = tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(_bounds, "tile long, dims int, radius double, centre array<double>")
+    bounds = tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(_bounds), "tile long, dims int, radius double, centre array<double>")
     bounds = written(bounds, "bounds")
     other = bounds.select("dims", *(F.col(c).alias(f"{c}2") for c in ("tile", "radius", "centre")))
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("centre", "centre2", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))))
     pairs = bounds.join(other, "dims").where("tile <= tile2").where((F.col("tile") == F.col("tile2")) | (apart - F.col("radius") - F.col("radius2") <= math.acos(threshold) + 1e-6))
     ends = pairs.select(F.xxhash64("tile", "tile2").alias("unit"), F.explode(F.array_distinct(F.array("tile", "tile2"))).alias("tile"))
     units = tiled.join(ends, "tile").repartition("unit").sortWithinPartitions("unit", "tile", "rep")
-    found = written(units.select("unit", "tile", "rep", "copies", "v").mapInArrow(_compare(threshold), "rep long, links long, root long"), "found")
+    found = written(units.select("unit", "tile", "rep", "copies", "v").mapInArrow(tidy(_compare(threshold)), "rep long, links long, root long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(found.select("rep", "root")).withColumnRenamed("id", "rep")
     per_group = groups.join(links, "rep", "left").join(classes, "rep", "left").select(

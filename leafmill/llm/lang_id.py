@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from leafmill.llm.common import chunks, column, utf8
+from leafmill.llm.common import chunks, column, tidy, utf8
 
 BUCKETS = 1 << 15
 SCALE = 40.0
@@ -168,4 +168,4 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema)
-    return docs.select(kept).mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return docs.select(kept).mapInArrow(tidy(run), f"{fields}, lang_pred string, score double, ambiguous boolean")

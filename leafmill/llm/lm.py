@@ -20,6 +20,7 @@ words and a frequent word costs one row a block.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import chunks, column, utf8, written
+from leafmill.llm.common import chunks, column, tidy, utf8, written
 
 BLOCK_BYTES = 12 << 20
 DIM, BATCH, NOISE, ROUNDS = 16, 8192, 32, 2
@@ -228,7 +229,7 @@ def fit(train: DataFrame, shape: Shape, rounds: int = ROUNDS) -> LogBilinear:
     """Trains over all of train(text): tasks from a common start, parameters averaged, rounds times."""
     model = LogBilinear(shape.share)
     for r in range(rounds):
-        parts = train.select("text").mapInArrow(_fit(shape, model.flat, r, 0.1 / (r + 1)), "seen double, flat array<double>")
+        parts = train.select("text").mapInArrow(tidy(_fit(shape, model.flat, r, 0.1 / (r + 1))), "seen double, flat array<double>")
         sums = parts.select("seen", F.posexplode("flat").alias("i", "v")).groupBy("i").agg((F.sum(F.col("seen") * F.col("v")) / F.sum("seen")).alias("v"))
         rows = sums.orderBy("i").toArrow()
         if rows.num_rows:
@@ -242,7 +243,7 @@ SCORED = [("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()
 
 def _score(shape: Shape, flat: np.ndarray, known: dict):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        key = flat.tobytes()[:256]
+        key = hashlib.blake2b(flat.tobytes() + shape.share.tobytes(), digest_size=16).digest()
         if key not in _tables:
             _tables.clear()
             _tables[key] = tuple(x.astype(np.float32) for x in LogBilinear(shape.share, flat).tables())
@@ -293,7 +294,7 @@ def score_documents(docs: DataFrame, classes: int = 1024) -> DataFrame:
     empty table gives no rows.  Scores are log10 probabilities.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("train", F.lit(False)).alias("train"), "text")
-    both = written(docs.mapInArrow(_tokenise, "block long, doc_id long, train boolean, ids binary, word binary, place int, n long"), "tokens")
+    both = written(docs.mapInArrow(tidy(_tokenise), "block long, doc_id long, train boolean, ids binary, word binary, place int, n long"), "tokens")
     local = both.where("place is not null").select("block", "word", "place", "n")
     totals = written(local.groupBy("word").agg(F.sum("n").alias("total")), "totals")
     n_docs = both.where("place is null and train").count()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import chunks, column, utf8, written
+from leafmill.llm.common import chunks, column, tidy, utf8, written
 from leafmill.llm.graph import components, roots
 from leafmill.llm.textkernels import mix, shingle_sets
 
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, ba
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = written(
-        docs.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, digest binary, keys array<long>"),
+        docs.mapInArrow(tidy(_sketch(bands, rows, width)), "doc_id long, n_shingles long, digest binary, keys array<long>"),
         "sketch",
     )
     full = sketch.where("n_shingles > 0")
@@ -271,7 +271,7 @@ def _links(docs: DataFrame, hits: DataFrame, clusters: DataFrame, threshold: flo
     )
     units = small.unionByName(large)
     units = units.repartition("unit").sortWithinPartitions("unit", "cluster", "tile", "doc_id")
-    return units.mapInArrow(_confirm(threshold, m, width), "a long, b long")
+    return units.mapInArrow(tidy(_confirm(threshold, m, width)), "a long, b long")
 
 
 def exact_links(sets: list[set], threshold: float = 0.75) -> np.ndarray:

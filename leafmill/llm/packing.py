@@ -18,6 +18,7 @@ common, is gathered in one task.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import zlib
@@ -31,10 +32,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import chunks, column, written
+from leafmill.llm.common import chunks, column, tidy, written
 
 #: Bytes of text encoded at a time, and pre-tokens whose ids a task keeps.
-CHUNK, KEPT = 8 << 20, 300_000
+CHUNK, KEPT = 4 << 20, 300_000
 #: Pre-tokens that are encoded in one call.
 TOGETHER = 2048
 #: The pre-tokens of the vocabulary, and how it treats texts before.
@@ -67,7 +68,7 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.by_words = _as_expected(made)
@@ -81,6 +82,13 @@ class WordEncoder:
         self.pieces = regex.compile(PRE_TOKENS)
         self.forget()
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer as it is; most texts need it for no word."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         self.known, self.ends, self.ids = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
@@ -139,6 +147,8 @@ class WordEncoder:
         return self.ids[spread(self.ends[code], lengths)], np.diff(total[edge])
 
     def _others(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         found = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
 
@@ -223,11 +233,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
             if with_ids:
                 out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, names)
-        own.forget()
-        pa.default_memory_pool().release_unused()
+        _loaded.clear()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema)
 
 
 @dataclass
@@ -441,7 +450,7 @@ def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(kept).schema)
-    return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

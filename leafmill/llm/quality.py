@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import chunks, column, utf8
+from leafmill.llm.common import chunks, column, tidy, utf8
 
 BINS, DEPTH, TREES, RATE = 64, 4, 80, 0.15
 
@@ -145,7 +145,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, training: Column, fit_rows
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "quality"), rows], ["doc_id", "quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, quality int, x array<double>").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(tidy(run), "doc_id long, quality int, x array<double>").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if rows.num_rows else np.zeros((0, FEATURES))
     return fit_trees(x[order], rows["quality"].to_numpy()[order].astype(float))
@@ -169,4 +169,4 @@ def predict_quality(docs: DataFrame, trees: Trees, threshold: float = 0.7) -> Da
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema)
-    return docs.select(kept).mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.select(kept).mapInArrow(tidy(run), f"{fields}, score double, predicted int")
