@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 _BEFORE = (Window.unboundedPreceding, -1)
-_AFTER = (1, Window.unboundedFollowing)
 
 
 def is_body() -> Column:
@@ -106,7 +105,8 @@ def _neighbours(pages: DataFrame, keys: list[str], order: str) -> DataFrame:
     rows = pages.withColumn("at", F.row_number().over(w))
     mark = F.when(F.col("printed_number").isNotNull(), F.struct(F.col("printed_number").alias("n"), F.col("at").alias("at")))
     rows = rows.withColumn("a", F.last(mark, True).over(w.rowsBetween(*_BEFORE)))
-    rows = rows.withColumn("b", F.first(mark, True).over(w.rowsBetween(*_AFTER)))
+    # What follows is what precedes in the opposite order: a frame that grows, not one that is scanned for every row.
+    rows = rows.withColumn("b", F.last(mark, True).over(Window.partitionBy(*keys).orderBy(F.desc("at")).rowsBetween(*_BEFORE)))
     span = F.when(F.col("printed_number").isNull(), F.col("b.n") - F.col("a.n"))
     return rows.withColumn("span", span).withColumn("slots", F.col("b.at") - F.col("a.at"))
 
@@ -163,7 +163,8 @@ def reorder(pages: DataFrame) -> DataFrame:
     n = F.col("printed_number")
     rows = rows.withColumn("at", F.row_number().over(book) - 1).withColumn("many", F.count("*").over(book.rowsBetween(*_ALL)))
     rows = rows.withColumn("pa", F.last("printed_number", True).over(own.rowsBetween(*_BEFORE)))
-    rows = rows.withColumn("pb", F.first("printed_number", True).over(own.rowsBetween(*_AFTER)))
+    back = Window.partitionBy("book_id", "part", "video").orderBy(F.desc("frame_no"))
+    rows = rows.withColumn("pb", F.last("printed_number", True).over(back.rowsBetween(*_BEFORE)))
     between = F.when(F.col("pa").isNotNull() & F.col("pb").isNotNull(), (F.col("pa") + F.col("pb")) / 2)
     near = F.coalesce(between, F.col("pa") + F.lit(0.5), F.col("pb") - F.lit(0.5))
     rows = rows.withColumn("base", F.coalesce(n.cast("double"), near + F.col("at") * 1e-6))
@@ -240,21 +241,36 @@ def monotone_keep(numbers: list[int], weights: list[int]) -> set[int]:
 
     Among equal weights the earliest predecessor and the earliest end are taken.
     """
-    found = []
-    for sign in (1, -1):
-        total, via = [], []
-        for i, (x, w) in enumerate(zip(numbers, weights)):
-            options = [(total[j], -j) for j in range(i) if (x - numbers[j]) * sign >= 0]
-            most, back = max(options, default=(0, 1))
-            total.append(w + most)
-            via.append(-back if most > 0 else -1)
-        at = total.index(max(total))
-        chain, weight = set(), total[at]
-        while at >= 0:
-            chain.add(at)
-            at = via[at]
-        found.append((weight, chain))
-    return found[0][1] if found[0][0] >= found[1][0] else found[1][1]
+    (up, rising), (down, falling) = _heaviest(numbers, weights), _heaviest([-x for x in numbers], weights)
+    return rising if up >= down else falling
+
+
+def _heaviest(numbers: list[int], weights: list[int]) -> tuple[int, set[int]]:
+    """Weight and indices of the heaviest subsequence that never falls.
+
+    A binary indexed tree over the distinct numbers keeps the best (weight, minus index) of
+    each prefix of them, so that n numbers take n log n steps.
+    """
+    place = {x: k for k, x in enumerate(sorted(set(numbers)), 1)}
+    tree, via, ends = [(0, 1)] * (len(place) + 1), [], []
+    for i, (x, w) in enumerate(zip(numbers, weights)):
+        best, k = (0, 1), place[x]
+        while k:
+            best = max(best, tree[k])
+            k &= k - 1
+        via.append(-best[1])
+        end = (best[0] + w, -i)
+        ends.append(end)
+        k = place[x]
+        while k <= len(place):
+            tree[k] = max(tree[k], end)
+            k += k & -k
+    weight, last = max(ends)
+    at, chain = -last, set()
+    while at >= 0:
+        chain.add(at)
+        at = via[at]
+    return weight, chain
 
 
 def sanitize_numbers(pages: DataFrame) -> DataFrame:
