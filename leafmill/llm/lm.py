@@ -25,11 +25,12 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count
+from itertools import count
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import chunks, column, tidy, utf8, written
 
 BLOCK_BYTES = 12 << 20
-DIM, BATCH, NOISE, ROUNDS = 16, 8192, 32, 2
+DIM, BATCH, NOISE, ROUNDS, RATE = 24, 2048, 48, 2, 0.05
 #: Noise words to each word, in expectation; a batch's are drawn once for all its positions.
 _RATIO = 8.0
 #: Classes by ending to the cube root of the distinct training words.
@@ -80,10 +81,11 @@ class LogBilinear:
             views.append(self.flat[at : at + k].reshape(s))
             at += k
         self.q, self.r, self.c1, self.c2, self.b = views
+        #: Sums of squared gradients: a number for each vector and bias, one for each matrix.
+        self.seen = {"q": np.full(n + 1, 1e-6, np.float32), "r": np.full(n, 1e-6, np.float32), "b": np.full(n, 1e-6, np.float32), "c1": np.float32(1e-6), "c2": np.float32(1e-6)}
 
     def train(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray, rng: np.random.Generator, rate: float) -> None:
-        """One noise-contrastive gradient step over the positions of a batch."""
-        n = len(w)
+        """One noise-contrastive gradient step over the positions of a batch, each row by its own AdaGrad rate."""
         drawn = np.searchsorted(self.sums, rng.random(NOISE)).clip(0, len(self.b) - 1)
         q1, q2 = self.q[c1], self.q[c2]
         h = q1 @ self.c1 + q2 @ self.c2
@@ -96,14 +98,26 @@ class LogBilinear:
             bad += 1
             down = np.divide(np.float32(-_RATIO / NOISE), bad, out=bad)
         gh = up[:, None] * rw + down @ rn
-        step = np.float32(rate / n)
+        rate = np.float32(rate)
         gc1, gc2, gq1, gq2 = q1.T @ gh, q2.T @ gh, gh @ self.c1.T, gh @ self.c2.T
-        _add(self.r, w, up[:, None] * h, step * 20)
-        np.add.at(self.r, drawn, step * 20 * (down.T @ h))
-        _add(self.q, np.concatenate([c1, c2]), np.concatenate([gq1, gq2]), step * 20)
-        self.b += step * 20 * (np.bincount(w, up, len(self.b)) + np.bincount(drawn, down.sum(0), len(self.b)))
-        self.c1 += step * gc1
-        self.c2 += step * gc2
+        self._rows(self.r, "r", np.concatenate([w, drawn]), np.concatenate([up[:, None] * h, down.T @ h]), rate)
+        self._rows(self.q, "q", np.concatenate([c1, c2]), np.concatenate([gq1, gq2]), rate)
+        gb = (np.bincount(w, up, len(self.b)) + np.bincount(drawn, down.sum(0), len(self.b))).astype(np.float32)
+        self.seen["b"] += gb * gb
+        self.b += rate * gb / np.sqrt(self.seen["b"])
+        for name, into, g in (("c1", self.c1, gc1), ("c2", self.c2, gc2)):
+            self.seen[name] += (g * g).mean()
+            into += rate * g / np.sqrt(self.seen[name])
+
+    def _rows(self, into: np.ndarray, name: str, rows: np.ndarray, values: np.ndarray, rate: np.float32) -> None:
+        """A step for the given rows, which may repeat, by their summed gradients over the root of what each has seen."""
+        # Small numbers are sorted by radix, several times as fast.
+        order = np.argsort(rows.astype(np.uint16) if len(into) <= 1 << 16 else rows, kind="stable")
+        own = rows[order]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        at, g = own[first], np.add.reduceat(values[order], first, axis=0)
+        self.seen[name][at] += (g * g).mean(1)
+        into[at] += rate * g / np.sqrt(self.seen[name][at])[:, None]
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by last class, by the one before, and log-normalisers of each pair of contexts."""
@@ -117,19 +131,22 @@ class LogBilinear:
         return first, second, norm
 
 
-def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray, step: float) -> None:
-    """into[rows] += step * values, for repeated rows too."""
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
-    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    into[own[first]] += step * np.add.reduceat(values[order], first, axis=0)
-
-
 def tokens(text: bytes | None) -> list[bytes]:
     """Words of a text: runs without ASCII white space, A-Z lower-cased."""
     return (text or b"").lower().split()
 
 
+def coded_tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The tokens of all texts, one after the other, as a dictionary of distinct ones, and how many each text has."""
+    plain = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), "[\t-\r]", " ")
+    lists = pc.split_pattern(plain, " ")
+    words = lists.flatten()
+    full = pc.not_equal(words, "")
+    ends = np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return words.filter(full).dictionary_encode(), np.diff(before[ends], prepend=0)
+
+
 def contexts(w: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The classes one and two places before each position; first marks the documents' beginnings."""
     c1, c2 = np.roll(w, 1), np.roll(w, 2)
@@ -208,13 +225,14 @@ def _fit(shape: Shape, flat: np.ndarray | None, seed: int, rate: float):
         start = shape.outputs
         lookup = _Classes(shape).__getitem__
         for part in chunks(batches, "text", 1 << 20):
-            docs = [tokens(t) for t in utf8(column(part, "text"))]
-            size = np.array([len(d) + 1 for d in docs])
+            each, many = coded_tokens(column(part, "text"))
+            size = many + 1
             first = np.cumsum(size) - size
             w = np.zeros(size.sum(), np.int32)  # the last of each stays 0, the end
             own = np.ones(len(w), bool)
             own[first + size - 1] = False
-            w[own] = np.fromiter(map(lookup, chain.from_iterable(docs)), np.int32, int(own.sum()))
+            kind = np.fromiter(map(lookup, utf8(each.dictionary)), np.int32, len(each.dictionary))
+            w[own] = kind[each.indices.to_numpy()]
             c1, c2 = contexts(w, first, start)
             for s in range(0, len(w), BATCH):
                 model.train(c1[s : s + BATCH], c2[s : s + BATCH], w[s : s + BATCH], rng, rate)
@@ -229,7 +247,7 @@ def fit(train: DataFrame, shape: Shape, rounds: int = ROUNDS) -> LogBilinear:
     """Trains over all of train(text): tasks from a common start, parameters averaged, rounds times."""
     model = LogBilinear(shape.share)
     for r in range(rounds):
-        parts = train.select("text").mapInArrow(tidy(_fit(shape, model.flat, r, 0.1 / (r + 1))), "seen double, flat array<double>")
+        parts = train.select("text").mapInArrow(tidy(_fit(shape, model.flat, r, RATE / (r + 1))), "seen double, flat array<double>")
         sums = parts.select("seen", F.posexplode("flat").alias("i", "v")).groupBy("i").agg((F.sum(F.col("seen") * F.col("v")) / F.sum("seen")).alias("v"))
         rows = sums.orderBy("i").toArrow()
         if rows.num_rows:

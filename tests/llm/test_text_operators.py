@@ -360,3 +360,50 @@ def test_licenses_in_documents_without_a_window(spark, size):
     known = spark.createDataFrame([("x", " ".join(body))], "template_id string, text string")
     got = {r.doc_id: r.n_shared for r in license_scan.license_matches(docs(spark, texts), known).collect()}
     assert got == {n - 14: n - 4 for n in range(14, size + 5) if 100 * (n - 4) >= 75 * size}
+
+
+def test_coded_tokens_are_tokens():
+    import pyarrow as pa
+
+    each, many = lm.coded_tokens(pa.array([*HOSTILE, "A\tb\x0bC\x0cd\r\n e", "\x1ca \x85b É"]))
+    want = [lm.tokens((t or "").encode()) for t in [*HOSTILE, "A\tb\x0bC\x0cd\r\n e", "\x1ca \x85b É"]]
+    assert many.tolist() == [len(w) for w in want]
+    assert [x.encode() for x in each.to_pylist()] == [x for w in want for x in w]
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    kept = {}
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda train, shape, rounds=lm.ROUNDS: kept.setdefault("model", fit(train, kept.setdefault("shape", shape), rounds)))
+    rng = random.Random(9)
+    words = [f"w{i}{rng.choice(['ing', 'ed', '.', ''])}" for i in range(120)]
+    texts = [*HOSTILE, *(prose(rng, rng.randint(1, 40), words) for _ in range(80))]
+    train = [i % 4 > 0 for i in range(len(texts))]
+    table = docs(spark, texts, train=train)
+    out = lm.score_documents(table.unionByName(table.limit(3)), classes=20).orderBy("doc_id").collect()
+    assert len(out) == len(texts) + 3
+    model, shape = kept["model"], kept["shape"]
+    counts = Counter(w for t, k in zip([*texts, *texts[:3]], [*train, *train[:3]]) if k for w in lm.tokens((t or "").encode()))
+    classes = lm._Classes(shape)
+    rare = {}
+    for w, n in counts.items():
+        if w not in shape.words:
+            c = rare.setdefault(classes[w], [0, 0])
+            c[0], c[1] = c[0] + n, c[1] + 1
+    q, r, b = (x.astype(float) for x in (model.q, model.r, model.b))
+    one, two = q @ model.c1.astype(float) @ r.T, q @ model.c2.astype(float) @ r.T
+
+    def score(text):
+        before, total = [shape.outputs, shape.outputs], 0.0
+        for w in [*lm.tokens((text or "").encode()), None]:
+            c = 0 if w is None else classes[w]
+            x = one[before[0]] + two[before[1]] + b
+            total += x[c] - np.log(np.exp(x).sum())
+            if w is not None and w not in shape.words:
+                n, k = rare.get(c, (0, 0))
+                total += np.log((counts[w] + 0.1) / (n + 0.1 * (k + 1)))
+            before = [c, before[0]]
+        return total / np.log(10)
+
+    for row in out:
+        assert row.score == pytest.approx(score(texts[row.doc_id]), rel=1e-3, abs=1e-3)
