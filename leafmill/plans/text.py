@@ -188,50 +188,25 @@ def assemble_book(spark, sf_dir):
     return out.select("book_id", "page_ord", F.sha1(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("select doc_id, slug from (select doc_id, case when s = '' then 'book' else s end as slug from (select doc_id, substring(trim(regexp_replace(regexp_replace(lower(trim(substring(replace(text, chr(10), ' '), 1, 90))), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '-'), 1, 60) as s from documents))")
-def slugs(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.slug(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 90)).alias("slug"))
-
-
-@query("select doc_id, regexp_replace(trim(regexp_replace(substring(text, 1, 40), '[^\\p{L}\\p{N}_\\s.-]', '', 'g'), ' ' || chr(10)), '\\s+', '_', 'g') as slug from documents")
-def markdown_slugs(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.markdown_slug(F.substring("text", 1, 40)).alias("slug"))
-
-
-@query("select doc_id, regexp_replace(substring(text, 1, 200) || '=;#\\', '([=;#\\\\\\n])', '\\\\\\1', 'g') as escaped from documents")
-def meta_escape(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.meta_escape(F.concat(F.substring("text", 1, 200), F.lit("=;#\\"))).alias("escaped"))
-
-
-@query("select doc_id, case when doc_id % 3 = 0 then sha1(rtrim(substring(text, 1, 80), ' ' || chr(10))) else sha1(text) end as digest from documents")
-def prompt_echo(spark, sf_dir):
-    echo = F.concat(F.substring("text", 1, 80), F.lit("\nRules:\n Transcribe ONLY the flat page. OMIT running headers"))
-    md = F.when(F.col("doc_id") % 3 == 0, echo).otherwise(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", F.sha1(text.strip_echo(md).cast("binary")).alias("digest"))
-
-
 @query("select doc_id, case when s = '' then 'book' else s end as slug from (select doc_id, substring(trim(regexp_replace(regexp_replace(lower(trim(replace(text, chr(10), ' '))), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '-'), 1, 60) as s from documents)")
-def slugs_whole(spark, sf_dir):
-    """slugs over whole texts."""
+def slugs(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", text.slug(F.replace("text", F.lit("\n"), F.lit(" "))).alias("slug"))
 
 
 @query("select doc_id, sha1(regexp_replace(trim(regexp_replace(text, '[^\\p{L}\\p{N}_\\s.-]', '', 'g'), ' ' || chr(10)), '\\s+', '_', 'g')) as digest from documents")
-def markdown_slugs_whole(spark, sf_dir):
-    """markdown_slugs over whole texts, as digests."""
+def markdown_slugs(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha1(text.markdown_slug(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query("select doc_id, sha1(regexp_replace(text || '=;#\\', '([=;#\\\\\\n])', '\\\\\\1', 'g')) as digest from documents")
-def meta_escape_whole(spark, sf_dir):
-    """meta_escape over whole texts, as digests."""
+def meta_escape(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha1(text.meta_escape(F.concat("text", F.lit("=;#\\"))).cast("binary")).alias("digest"))
 
 
-@query("select doc_id, sha1(rtrim(text, ' ' || chr(10))) as digest from documents")
-def prompt_echo_whole(spark, sf_dir):
-    """prompt_echo over the whole of every text."""
-    md = F.concat("text", F.lit("\nRules:\n Transcribe ONLY the flat page. OMIT running headers"))
+@query("select doc_id, sha1(case when doc_id % 3 = 0 then rtrim(text, ' ' || chr(10)) else text end) as digest from documents")
+def prompt_echo(spark, sf_dir):
+    echo = F.concat("text", F.lit("\nRules:\n Transcribe ONLY the flat page. OMIT running headers"))
+    md = F.when(F.col("doc_id") % 3 == 0, echo).otherwise(F.col("text"))
     return documents(spark, sf_dir).select("doc_id", F.sha1(text.strip_echo(md).cast("binary")).alias("digest"))
 
 
