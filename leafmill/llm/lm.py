@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import chunks, column, tidy, utf8, written
 
 BLOCK_BYTES = 12 << 20
-DIM, BATCH, NOISE, ROUNDS, RATE = 24, 2048, 48, 2, 0.05
+DIM, BATCH, NOISE, ROUNDS, RATE = 16, 2048, 32, 2, 0.05
 #: Noise words to each word, in expectation; a batch's are drawn once for all its positions.
 _RATIO = 8.0
 #: Classes by ending to the cube root of the distinct training words.
@@ -87,9 +87,9 @@ class LogBilinear:
     def train(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray, rng: np.random.Generator, rate: float) -> None:
         """One noise-contrastive gradient step over the positions of a batch, each row by its own AdaGrad rate."""
         drawn = np.searchsorted(self.sums, rng.random(NOISE)).clip(0, len(self.b) - 1)
-        q1, q2 = self.q[c1], self.q[c2]
+        q1, q2 = self.q.take(c1, 0), self.q.take(c2, 0)
         h = q1 @ self.c1 + q2 @ self.c2
-        rw, rn = self.r[w], self.r[drawn]
+        rw, rn = self.r.take(w, 0), self.r.take(drawn, 0)
         good = np.einsum("ij,ij->i", h, rw) + self.b[w] - self.log_noise[w]
         bad = h @ rn.T + self.b[drawn] - self.log_noise[drawn]
         with np.errstate(over="ignore"):  # infinity is right there
@@ -115,7 +115,7 @@ class LogBilinear:
         order = np.argsort(rows.astype(np.uint16) if len(into) <= 1 << 16 else rows, kind="stable")
         own = rows[order]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        at, g = own[first], np.add.reduceat(values[order], first, axis=0)
+        at, g = own[first], np.add.reduceat(values.take(order, 0), first, axis=0)
         self.seen[name][at] += (g * g).mean(1)
         into[at] += rate * g / np.sqrt(self.seen[name][at])[:, None]
 
