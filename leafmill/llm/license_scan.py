@@ -121,18 +121,19 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, percent
     keys = written(keys, "keys")
     rows = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     rows = rows.select("doc_id", "w", shingle_hashes(F.col("w")).alias("h"))
+    # Keys travel with the document's id alone; words are made again for the few documents retrieved.
     if keys.where("long").limit(1).count():
-        windows = rows.select("doc_id", "w", F.explode(F.concat(_band_keys(F.col("h"), STRIDE), "h")).alias("key"))
+        windows = rows.select("doc_id", F.explode(F.concat(_band_keys(F.col("h"), STRIDE), "h")).alias("key"))
     else:
-        windows = rows.select("doc_id", "w", F.explode("h").alias("key"))
-    shared = lambda w: F.size(F.array_intersect(F.col("grams"), shingles(w, WIDTH)))
-    if fits_broadcast(keys, "key") and fits_broadcast(known.select(F.explode(F.flatten("grams")).alias("g")), "g"):
-        found = windows.join(F.broadcast(keys), "key").join(F.broadcast(known), "template_id")
-        found = found.select("doc_id", "template_id", shared(F.col("w")).alias("n_shared"), F.size("grams").alias("n_shingles"))
-    else:
-        pairs = windows.select("doc_id", "key").join(keys, "key").select("doc_id", "template_id").distinct()
-        found = pairs.join(docs.dropDuplicates(["doc_id"]), "doc_id").join(known, "template_id")
-        found = found.select("doc_id", "template_id", shared(words(F.col("text"))).alias("n_shared"), F.size("grams").alias("n_shingles"))
+        windows = rows.select("doc_id", F.explode("h").alias("key"))
+    few = F.broadcast(keys) if fits_broadcast(keys, "key") else keys
+    pairs = written(windows.join(few, "key").select("doc_id", "template_id").distinct(), "pairs")
+    pairs = F.broadcast(pairs) if fits_broadcast(pairs, "template_id") else pairs
+    few = F.broadcast(known) if fits_broadcast(known.select(F.explode(F.flatten("grams")).alias("g")), "g") else known
+    texts = docs.join(pairs, "doc_id").groupBy("doc_id", "text").agg(F.collect_set("template_id").alias("ids"))
+    texts = texts.select("doc_id", F.array_distinct(shingles(words(F.col("text")), WIDTH)).alias("own"), F.explode("ids").alias("template_id"))
+    shared = F.size(F.array_intersect("grams", "own"))
+    found = texts.join(few, "template_id").select("doc_id", "template_id", shared.alias("n_shared"), F.size("grams").alias("n_shingles"))
     found = found.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
     if widths:
         found = found.unionByName(_short_matches(rows.select("doc_id", "w"), short, widths))
