@@ -131,9 +131,11 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, percent
     pairs = F.broadcast(pairs) if fits_broadcast(pairs, "template_id") else pairs
     few = F.broadcast(known) if fits_broadcast(known.select(F.explode(F.flatten("grams")).alias("g")), "g") else known
     texts = docs.join(pairs, "doc_id").groupBy("doc_id", "text").agg(F.collect_set("template_id").alias("ids"))
-    texts = texts.select("doc_id", F.array_distinct(shingles(words(F.col("text")), WIDTH)).alias("own"), F.explode("ids").alias("template_id"))
-    shared = F.size(F.array_intersect("grams", "own"))
-    found = texts.join(few, "template_id").select("doc_id", "template_id", shared.alias("n_shared"), F.size("grams").alias("n_shingles"))
+    # Written, as expressions made of words would otherwise be evaluated again wherever the optimiser puts them.
+    texts = written(texts.select("doc_id", "ids", words(F.col("text")).alias("w")), "texts")
+    texts = written(texts.select("doc_id", "ids", F.array_distinct(shingles(F.col("w"), WIDTH)).alias("own")), "shingles")
+    found = texts.select("doc_id", "own", F.explode("ids").alias("template_id")).join(few, "template_id")
+    found = written(found.select("doc_id", "template_id", F.size(F.array_intersect("grams", "own")).alias("n_shared"), F.size("grams").alias("n_shingles")), "shared")
     found = found.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
     if widths:
         found = found.unionByName(_short_matches(rows.select("doc_id", "w"), short, widths))
