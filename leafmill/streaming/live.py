@@ -49,10 +49,21 @@ def each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
 
 
 def claim_batch(jobs: DataFrame, target: str) -> Callable[[DataFrame, int], None]:
-    """A sink that, as the single writer, adds an epoch's claimable jobs to the table at target."""
+    """A sink that, as the single writer, adds an epoch's claimable jobs to the table at target.
+
+    What earlier epochs claimed counts as running: no job is claimed twice, and lanes keep
+    their caps.  An epoch that is run again replaces its own claims.
+    """
+    schema = "lane string, id long"
 
     def sink(batch: DataFrame, epoch: int) -> None:
         arrived = jobs.unionByName(batch.select(*jobs.columns))
-        queue.claimable(arrived).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        if epoch:
+            paths = [f"{target}/epoch={k}" for k in range(epoch)]
+            held = batch.sparkSession.read.schema(schema).option("ignoreMissingFiles", "true").parquet(*paths).select("id").distinct()
+            held = held.withColumn("held", F.lit(True))
+            status = F.when(F.col("held") & (F.col("status") == "queued"), "running").otherwise(F.col("status"))
+            arrived = arrived.join(held, "id", "left").withColumn("status", status).select(*jobs.columns)
+        queue.claimable(arrived).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return sink
