@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.chat import format_conversations, read_conversations
 from leafmill.llm.common import is_split
-from leafmill.llm.decontaminate import contamination
+from leafmill.llm.decontaminate import contamination, near_phrases
 from leafmill.llm.embed_dup import embedding_duplicates
 from leafmill.llm.lang_id import learn_languages, predict_languages
 from leafmill.llm.license_scan import license_matches, short_notices
@@ -41,6 +41,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 

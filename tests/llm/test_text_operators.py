@@ -136,14 +136,45 @@ def test_contamination_matches_brute_force(spark, monkeypatch):
     assert decontaminate.contamination(docs(spark, texts[:3]), table.limit(0)).where("contaminated").count() == 0
 
 
-def test_proximity(spark):
-    d = docs(spark, ["x beta far alpha y", "alpha", "beta a b c d e f alpha"])
-    p = spark.createDataFrame([(["alpha", "beta"],)], "phrase array<string>")
-    counts = decontaminate.occurrences(d, p.select(F.explode("phrase").alias("term")))
-    found = decontaminate.anchored(p, counts)
-    index = decontaminate.build_index(d, found.select("term"), 5)
-    assert [r.doc_id for r in decontaminate.proximity_matches(index, found, 1).collect()] == [0]
-    assert decontaminate.phrase_matches(index, found).count() == 0
+def near_by_hand(texts, items, width, slop):
+    """doc -> (items, places of the rarest term) with all words of a window in a run of its size + slop words."""
+    said = [words(t) for t in texts]
+    count = Counter(w for t in said for w in t)
+    found = {}
+    for name, text in items:
+        w = words(text)
+        for k in {tuple(w[s : s + width]) for s in range(max(1, len(w) - width + 1))} - {()}:
+            rarest = min((count[t], k.index(t), t) for t in k)[2]
+            for d, t in enumerate(said):
+                for p in [p for p, x in enumerate(t) if x == rarest]:
+                    span = len(k) + slop
+                    if any(set(k) <= set(t[s : s + span]) for s in range(max(0, p - span + 1), p + 1)):
+                        found.setdefault(d, (set(), set()))[0].add(name)
+                        found[d][1].add(p)
+    return {d: (len(i), len(p)) for d, (i, p) in found.items()}
+
+
+@pytest.mark.parametrize("slop", [0, 1, 4])
+def test_proximity(spark, slop, monkeypatch):
+    rng = random.Random(slop)
+    pool = [f"t{i}" for i in range(12)]
+    items = [(i, prose(rng, n, pool)) for i, n in enumerate([1, 2, 4, 5, 9])] + [(5, "alpha beta"), (6, None), (7, "t1 t1 t2"), (None, "t1 t2")]
+    texts = ["x beta far alpha y", "alpha", "beta a b c d e f alpha", *HOSTILE] + [" ".join(prose(rng, rng.randint(1, 60), pool).split()) for _ in range(30)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = near_by_hand(texts, [i for i in items if i[0] is not None], 4, slop)
+    got = lambda: {r.doc_id: (r.n_items, r.n_places) for r in decontaminate.near_phrases(docs(spark, texts), table, slop, 4).collect()}
+    assert (0 in want) == (slop > 0) and got() == want
+    monkeypatch.setattr("leafmill.llm.wordcols.BROADCAST_BYTES", 0)
+    assert got() == want
+    assert decontaminate.near_phrases(docs(spark, texts).limit(0), table).count() == 0
+
+
+def test_rows_of_one_doc_id_stay_apart(spark):
+    """A phrase cut over two rows of a doc_id is no match."""
+    rows = spark.createDataFrame([(1, "a b x x"), (1, "y y c d"), (2, "-a b c d")], "doc_id long, text string")
+    item = spark.createDataFrame([(0, "A b, c d")], "item_id long, text string")
+    got = {(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination(rows, item).collect()}
+    assert got == {(1, 4, 0, False), (2, 4, 4, True)}
 
 
 def test_licenses_match_brute_force(spark, monkeypatch):
