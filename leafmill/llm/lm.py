@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import chunks, column, tidy, utf8, written
 
 BLOCK_BYTES = 12 << 20
-DIM, BATCH, NOISE, ROUNDS, RATE = 16, 2048, 32, 2, 0.05
+DIM, BATCH, NOISE, ROUNDS, RATE = 24, 2048, 96, 2, 0.05
 #: Noise words to each word, in expectation; a batch's are drawn once for all its positions.
 _RATIO = 8.0
 #: Classes by ending to the cube root of the distinct training words.
@@ -101,7 +101,11 @@ class LogBilinear:
         rate = np.float32(rate)
         gc1, gc2, gq1, gq2 = q1.T @ gh, q2.T @ gh, gh @ self.c1.T, gh @ self.c2.T
         self._rows(self.r, "r", np.concatenate([w, drawn]), np.concatenate([up[:, None] * h, down.T @ h]), rate)
-        self._rows(self.q, "q", np.concatenate([c1, c2]), np.concatenate([gq1, gq2]), rate)
+        # The second context is nearly always the first one of the place before: add those up, sort the others.
+        same = c2[1:] == c1[:-1]
+        gq1[:-1] += gq2[1:] * same[:, None]
+        other = np.flatnonzero(np.append(True, ~same))
+        self._rows(self.q, "q", np.concatenate([c1, c2[other]]), np.concatenate([gq1, gq2[other]]), rate)
         gb = (np.bincount(w, up, len(self.b)) + np.bincount(drawn, down.sum(0), len(self.b))).astype(np.float32)
         self.seen["b"] += gb * gb
         self.b += rate * gb / np.sqrt(self.seen["b"])
@@ -174,9 +178,9 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def words_of():
         own = np.zeros(len(index), np.int64)
-        for _, train, ids in held:
-            if train:
-                np.add.at(own, ids, 1)
+        learnt = [ids for _, train, ids in held if train]
+        if learnt:
+            own += np.bincount(np.concatenate(learnt), minlength=len(own))
         words = list(index)
         for s in range(0, len(words), 50_000):
             part = words[s : s + 50_000]
@@ -187,14 +191,18 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
     for part in chunks(batches, "text", 1 << 22):
-        for doc, train, text in zip(column(part, "doc_id").to_pylist(), column(part, "train").to_pylist(), utf8(column(part, "text"))):
-            if held and size + len(text or b"") > BLOCK_BYTES:
-                yield from docs_of()
-                yield from words_of()
-                block, index, held, size = block + 1, defaultdict(count().__next__), [], 0
-            words = tokens(text)
-            held.append((doc, train, np.fromiter(map(index.__getitem__, words), np.uint32, len(words))))
-            size += len(text or b"")
+        texts = column(part, "text")
+        n_bytes = pc.sum(pc.binary_length(texts)).as_py() or 0
+        if held and size + n_bytes > BLOCK_BYTES:
+            yield from docs_of()
+            yield from words_of()
+            block, index, held, size = block + 1, defaultdict(count().__next__), [], 0
+        each, many = coded_tokens(texts)
+        # Each distinct word is looked up once; its occurrences follow by numpy.
+        ids = np.fromiter(map(index.__getitem__, utf8(each.dictionary)), np.uint32, len(each.dictionary))[each.indices.to_numpy()]
+        ends = np.cumsum(many)
+        held += zip(column(part, "doc_id").to_pylist(), column(part, "train").to_pylist(), np.split(ids, ends[:-1]))
+        size += n_bytes
     if held:
         yield from docs_of()
         yield from words_of()
@@ -211,6 +219,31 @@ class _Classes(dict):
         return self.first + crc32(word.rstrip(self.marks)[-3:]) % self.endings
 
 
+def _crc_steps() -> np.ndarray:
+    """What CRC-32 makes of each byte."""
+    rows = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        rows = np.where(rows & 1, (rows >> 1) ^ np.uint32(0xEDB88320), rows >> 1)
+    return rows
+
+
+_STEPS = _crc_steps()
+
+
+def classes_of(words: pa.Array, shape: Shape, frequent: pa.Array) -> np.ndarray:
+    """What _Classes says of each of words (strings); frequent holds shape.words in order."""
+    kind = pc.index_in(pc.cast(words, pa.binary()), frequent).fill_null(-1).to_numpy().astype(np.int32) + 1
+    stems = pc.cast(pc.ascii_rtrim(words, characters=_MARKS), pa.large_binary())
+    ends = np.frombuffer(stems.buffers()[1], np.int64)[stems.offset : stems.offset + len(stems) + 1]
+    data = np.frombuffer(stems.buffers()[2] or b"", np.uint8)
+    length = np.diff(ends)
+    crc = np.full(len(stems), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        has = np.flatnonzero(length >= back)
+        crc[has] = _STEPS[(crc[has] ^ data[ends[has + 1] - back]) & 255] ^ (crc[has] >> 8)
+    return np.where(kind > 0, kind, len(shape.words) + 1 + (~crc % np.uint32(shape.endings)).astype(np.int32)).astype(np.int32)
+
+
 def ending_class(word: Column, endings: int) -> Column:
     """The number of a word's class by ending: as _Classes, of the last three bytes before marks."""
     stem = F.rtrim(word.cast("string"), F.lit(_MARKS)).cast("binary")
@@ -223,7 +256,7 @@ def _fit(shape: Shape, flat: np.ndarray | None, seed: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rng, seen = LogBilinear(shape.share, flat), np.random.default_rng(seed), 0
         start = shape.outputs
-        lookup = _Classes(shape).__getitem__
+        frequent = pa.array(list(shape.words), pa.binary())
         for part in chunks(batches, "text", 1 << 20):
             each, many = coded_tokens(column(part, "text"))
             size = many + 1
@@ -231,8 +264,7 @@ def _fit(shape: Shape, flat: np.ndarray | None, seed: int, rate: float):
             w = np.zeros(size.sum(), np.int32)  # the last of each stays 0, the end
             own = np.ones(len(w), bool)
             own[first + size - 1] = False
-            kind = np.fromiter(map(lookup, utf8(each.dictionary)), np.int32, len(each.dictionary))
-            w[own] = kind[each.indices.to_numpy()]
+            w[own] = classes_of(each.dictionary, shape, frequent)[each.indices.to_numpy()]
             c1, c2 = contexts(w, first, start)
             for s in range(0, len(w), BATCH):
                 model.train(c1[s : s + BATCH], c2[s : s + BATCH], w[s : s + BATCH], rng, rate)

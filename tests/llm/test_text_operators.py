@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from leafmill.llm import decontaminate, lang_id, license_scan, lm, near_dup, packing, quality
 from leafmill.llm.queries import vocabulary
@@ -358,6 +359,11 @@ def test_ending_classes_agree(spark):
     got = [r.e for r in table.select(lm.ending_class(F.col("word"), 97).alias("e")).collect()]
     own = lm._Classes(lm.Shape({}, np.zeros(98)))
     assert got == [own[w.encode()] - 1 for w in words]
+    known = lm.Shape({b"ab.": 1, "é".encode(): 2}, np.zeros(100))
+    each = lm._Classes(known)
+    found = lm.classes_of(pa.array(words), known, pa.array(list(known.words), pa.binary()))
+    assert found.tolist() == [each[w.encode()] for w in words]
+    assert lm.classes_of(pa.array([], pa.string()), known, pa.array(list(known.words), pa.binary())).tolist() == []
 
 
 @pytest.mark.parametrize("n", range(8))
@@ -394,7 +400,6 @@ def test_licenses_in_documents_without_a_window(spark, size):
 
 
 def test_coded_tokens_are_tokens():
-    import pyarrow as pa
 
     each, many = lm.coded_tokens(pa.array([*HOSTILE, "A\tb\x0bC\x0cd\r\n e", "\x1ca \x85b É"]))
     want = [lm.tokens((t or "").encode()) for t in [*HOSTILE, "A\tb\x0bC\x0cd\r\n e", "\x1ca \x85b É"]]
