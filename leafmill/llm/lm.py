@@ -270,7 +270,7 @@ def _fit(shape: Shape, flat: np.ndarray | None, seed: int, rate: float):
                 model.train(c1[s : s + BATCH], c2[s : s + BATCH], w[s : s + BATCH], rng, rate)
             seen += len(w)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([model.flat.astype(np.float64)], pa.list_(pa.float64()))], ["seen", "flat"])
+            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([model.flat], pa.list_(pa.float32()))], ["seen", "flat"])
 
     return run
 
@@ -279,7 +279,7 @@ def fit(train: DataFrame, shape: Shape, rounds: int = ROUNDS) -> LogBilinear:
     """Trains over all of train(text): tasks from a common start, parameters averaged, rounds times."""
     model = LogBilinear(shape.share)
     for r in range(rounds):
-        parts = train.select("text").mapInArrow(tidy(_fit(shape, model.flat, r, RATE / (r + 1))), "seen double, flat array<double>")
+        parts = train.select("text").mapInArrow(tidy(_fit(shape, model.flat, r, RATE / (r + 1))), "seen double, flat array<float>")
         sums = parts.select("seen", F.posexplode("flat").alias("i", "v")).groupBy("i").agg((F.sum(F.col("seen") * F.col("v")) / F.sum("seen")).alias("v"))
         rows = sums.orderBy("i").toArrow()
         if rows.num_rows:

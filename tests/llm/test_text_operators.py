@@ -400,7 +400,6 @@ def test_licenses_in_documents_without_a_window(spark, size):
 
 
 def test_coded_tokens_are_tokens():
-
     each, many = lm.coded_tokens(pa.array([*HOSTILE, "A\tb\x0bC\x0cd\r\n e", "\x1ca \x85b É"]))
     want = [lm.tokens((t or "").encode()) for t in [*HOSTILE, "A\tb\x0bC\x0cd\r\n e", "\x1ca \x85b É"]]
     assert many.tolist() == [len(w) for w in want]
