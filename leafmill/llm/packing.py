@@ -32,10 +32,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import chunks, column, tidy, written
+from leafmill.llm.common import chunks, column, release_memory, tidy, written
 
 #: Bytes of text encoded at a time, and pre-tokens whose ids a task keeps.
-CHUNK, KEPT = 4 << 20, 300_000
+CHUNK, KEPT = 2 << 20, 300_000
 #: Pre-tokens that are encoded in one call.
 TOGETHER = 2048
 #: The pre-tokens of the vocabulary, and how it treats texts before.
@@ -206,6 +206,7 @@ def _as_expected(made: dict) -> bool:
 def encoder(path: str) -> WordEncoder:
     if path not in _loaded:
         _loaded[path] = WordEncoder(path)
+        release_memory()  # what reading the vocabulary took
     return _loaded[path]
 
 
