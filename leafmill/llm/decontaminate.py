@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import written
+from leafmill.llm.common import ascii_lower, written
 from leafmill.llm.wordcols import BREAK, fits_broadcast, word_count, word_slots, words
 
 
@@ -41,7 +41,8 @@ def _small(df: DataFrame, column: str) -> DataFrame:
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of terms(term, term_id): doc_id, row (the document's, since doc_id may repeat), pos from 0, term_id."""
     text = F.coalesce("text", F.lit(""))
-    lead = text.rlike(f"^{BREAK}").cast("int").alias("lead")
+    # BREAK holds the capitals, since words are lower-cased before.
+    lead = ascii_lower(F.substring(text, 1, 1)).rlike(BREAK).cast("int").alias("lead")
     slots = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lead, word_slots(text).alias("w"))
     each = slots.select("doc_id", "row", "lead", F.posexplode("w").alias("slot", "term"))
     found = each.join(_small(terms, "term"), "term")

@@ -172,10 +172,10 @@ def test_proximity(spark, slop, monkeypatch):
 
 def test_rows_of_one_doc_id_stay_apart(spark):
     """A phrase cut over two rows of a doc_id is no match."""
-    rows = spark.createDataFrame([(1, "a b x x"), (1, "y y c d"), (2, "-a b c d")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, "a b x x"), (1, "y y c d"), (2, "-a b c d"), (3, "A b c d e")], "doc_id long, text string")
     item = spark.createDataFrame([(0, "A b, c d")], "item_id long, text string")
     got = {(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination(rows, item).collect()}
-    assert got == {(1, 4, 0, False), (2, 4, 4, True)}
+    assert got == {(1, 4, 0, False), (2, 4, 4, True), (3, 5, 4, True)}
 
 
 def test_licenses_match_brute_force(spark, monkeypatch):
