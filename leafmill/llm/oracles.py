@@ -61,6 +61,45 @@ OP7 = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(
  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
  cast(sum(24 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) as bigint) as formatted_chars from t group by 1"""
 
+OP11 = r"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as hugeint) as size from documents),
+ s as (select source, cast(sum(size) as hugeint) as n from d group by 1),
+ r as (select source, n, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from s),
+ t as (select *, coalesce(sum(n) over (order by cast(n as double) / w, source rows between unbounded preceding and 1 preceding), 0) as below,
+  sum(w) over (order by cast(n as double) / w, source rows between current row and unbounded following) as rest, sum(n) over () as total from r),
+ level as (select 150 * total - 200 * below as over, rest as under from t where n > 0 and 200 * n * rest >= (150 * total - 200 * below) * w order by below, rest desc limit 1),
+ g as (select source, n, case when n = 0 or 200 * n * under < over * w then cast(2 * n as double) else cast(over * w as double) / cast(100 * under as double) end as target from r left join level on true),
+ p as (select doc_id, d.source, size, n, target, case when n > 0 then target / n else 0 end as rate, row_number() over (partition by d.source order by size, doc_id nulls first) as i,
+  ((cast('0x' || substr(md5('0|' || coalesce(d.source, '')), 1, 8) as bigint) % 1024) + 0.5) / 1024 as u from d join g on d.source is not distinct from g.source)
+ select doc_id, cast(size as bigint) as size, cast(n as bigint) as source_size, target, cast(size * least(2, floor(i * rate + u) - floor((i - 1) * rate + u)) as bigint) as taken from p"""
+
+_FINITE = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+OP12 = f"""with v as (select row_number() over () as r, vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+  list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings where vec_id is not null and label is not null and {_FINITE}),
+ a as (select * from v where vec_id % 100 = 0),
+ s as materialized (select a.r, a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_inner_product(a.q, b.q) as bigint) as score from a join v b on a.vec_id <> b.vec_id),
+ p as (select r, anchor_id, other as positive_id, score as positive_score, row_number() over (partition by r order by score desc, other) as slot from s where same qualify slot <= 5),
+ n as (select p.*, s.other as negative_id, s.score as negative_score, cast(row_number() over (partition by p.r, slot order by s.score desc, s.other) as int) as rank from p join s on s.r = p.r and not s.same
+  where 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score qualify rank <= 10)
+ select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n"""
+
+
+def _lloyd(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Rounds of assigning and averaging, one after another; distances and sums are exact whole numbers."""
+    steps = [f"""v as materialized (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as q from embeddings where {_FINITE}),
+ x as materialized (select r, p, q[p * len(q) // {parts} + 1:(p + 1) * len(q) // {parts}] as x from v, range({parts}) t(p)),
+ s as (select r, row_number() over (order by vec_id nulls last, q) - 1 as k from v qualify k < {entries}),
+ c0 as materialized (select p, k, x as c from s join x using (r))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (select r, p, any_value(x) as x, min({entries} * cast(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) as bigint) + k) as m from x join c{i} using (p) group by r, p)""")
+        if i < rounds:
+            steps.append(f"""u{i} as (select p, k, list(floor(total / n) order by pos) as c from (select p, k, pos, sum(y) as total, count(*) as n from (select p, m % {entries} as k, unnest(range(1, len(x) + 1)) as pos, unnest(x) as y from a{i}) group by all) group by p, k),
+ c{i + 1} as materialized (select c{i}.p, c{i}.k, coalesce(u{i}.c, c{i}.c) as c from c{i} left join u{i} on c{i}.p = u{i}.p and c{i}.k = u{i}.k)""")
+    return f"""with {", ".join(steps)},
+ e as (select r, string_agg(printf('%02x', m % {entries}), '' order by p) as code, cast(sum(m // {entries}) as bigint) as error from a{rounds} group by r),
+ h as (select sha256(string_agg(array_to_string(list_transform(c, lambda y: cast(cast(y as bigint) as varchar)), ','), ',' order by p, k)) as codebooks_sha256 from c{rounds})
+ select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from v join e using (r), h"""
+
+
 ORACLES = {
     "op1_minhash_near_dedup": OP1,
     "op2_license_scan": OP2,
@@ -69,4 +108,7 @@ ORACLES = {
     "op5_embedding_near_dedup": OP5,
     "op6_warc": OP6,
     "op7_chat_formatting": OP7,
+    "op11_source_mixing": OP11,
+    "op12_hard_negatives": OP12,
+    "op13_vector_codes": _lloyd(),
 }

@@ -1,4 +1,4 @@
-"""The ten opN_ queries, each over its whole table, and the oracles that SQL can express."""
+"""The opN_ queries, each over its whole table, and the oracles that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.chat import format_conversations, read_conversations
+from leafmill.llm.codes import compress, with_label_errors
 from leafmill.llm.common import is_split
 from leafmill.llm.decontaminate import contamination, near_phrases
 from leafmill.llm.embed_dup import embedding_duplicates
 from leafmill.llm.lang_id import learn_languages, predict_languages
 from leafmill.llm.license_scan import license_matches, short_notices
 from leafmill.llm.lm import score_documents
-from leafmill.llm.oracles import ORACLES
+from leafmill.llm.mixing import blank_separated_words, mix_copies
 from leafmill.llm.near_dup import near_duplicates
+from leafmill.llm.negatives import hard_negatives
+from leafmill.llm.oracles import ORACLES
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.warc import read_back, write_warc
 from leafmill.llm.quality import learn_quality, predict_quality
@@ -89,6 +92,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_quality(docs.select("doc_id", held_out.alias("held_out"), "text"), trees).drop("text")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_copies(table(spark, sf_dir, "documents"), blank_separated_words(F.col("text")), ["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = compress(table(spark, sf_dir, "embeddings"))
+    code = F.concat_ws("", F.transform("entry", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")))
+    rows = with_label_errors(codes.rows.select("vec_id", "label", code.alias("code"), "error"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(codes.sha256()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
