@@ -111,7 +111,7 @@ def mix_copies(docs: DataFrame, size: Column, carry: list[str], weights: tuple[i
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, cap: int = CAP, seed: int = 0) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, with all columns as they were."""
-    taken = mix_copies(docs, blank_separated_words(F.col("text")), docs.columns, weights, percent, cap, seed).where("copies > 0")
-    inner = taken.toDF(*(f"__{i}" for i in range(len(taken.columns))))
+    taken = mix_copies(docs, blank_separated_words(F.col("text")), docs.columns, weights, percent, cap, seed)
+    inner = taken.toDF(*(f"__{i}" for i in range(len(taken.columns)))).where(F.col(f"__{len(docs.columns) + 3}") > 0)
     repeated = inner.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(f"__{len(docs.columns) + 3}"))))
     return repeated.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)))
