@@ -82,3 +82,29 @@ def salvage(raw: Column) -> Column:
 def salvage_objects(raw: Column) -> Column:
     """Flat JSON objects found anywhere in a reply, as strings that parse."""
     return F.filter(F.regexp_extract_all(raw, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda x: F.try_parse_json(x).isNotNull())
+
+
+def _findings(items: Column) -> Column:
+    """Findings with a quote among the JSON objects: unknown types are other, severities low; quotes and notes are cut."""
+    get = lambda v, name: F.try_variant_get(v, f"$.{name}", "string")
+    quoted = F.filter(items, lambda v: F.coalesce(get(v, "quote"), F.lit("")) != "")
+    either = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    return F.transform(
+        quoted,
+        lambda v: F.struct(
+            either(get(v, "type"), "other").alias("type"),
+            either(get(v, "severity"), "low").alias("severity"),
+            F.substring(get(v, "quote"), 1, 200).alias("quote"),
+            get(v, "replacement").alias("replacement"),
+            F.substring(F.coalesce(get(v, "note"), F.lit("")), 1, 300).alias("note"),
+        ),
+    )
+
+
+def model_findings(raw: Column) -> Column:
+    """A review's findings, array of struct(type, severity, quote, replacement, note); of a broken reply what is whole in it."""
+    none = F.array().cast("array<variant>")
+    whole = F.try_parse_json(json_body(raw))
+    listed = F.coalesce(F.try_variant_get(whole, "$.findings", "array<variant>"), none)
+    parts = F.transform(salvage_objects(F.coalesce(raw, F.lit(""))), lambda x: F.try_parse_json(x))
+    return _findings(F.when(whole.isNotNull(), listed).otherwise(parts))

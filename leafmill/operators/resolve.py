@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import squash
+
 
 def capture_key() -> Column:
     """A capture's identity, which outlives renumbering."""
@@ -77,23 +79,35 @@ def box_pairs(boxes: DataFrame, least: float = 0.05) -> DataFrame:
     return pairs.where(F.col("iou") > least).select("page", "box_a", "box_b", "iou")
 
 
-def first_containing(snippets: DataFrame, pages: DataFrame, gram: int = 24) -> DataFrame:
-    """snippet_id, page_ord: the first page whose squashed text holds the snippet's first 160 characters.
+def _piece(gram: int):
+    return lambda i: F.substring("target", i, gram)
+
+
+def first_containing(snippets: DataFrame, pages: DataFrame, by: list[str] | None = None, grams: tuple[int, ...] = (24, 12, 6)) -> DataFrame:
+    """snippet_id, page_ord (and by): the first page whose squashed text holds the snippet's first 160 characters.
 
-    Snippets of under 12 characters match nothing.  Any occurrence of a target of 2 * gram - 1
-    characters or more holds one of the page's aligned pieces of gram characters within its
-    first 2 * gram - 1, so pages are cut into such pieces and joined by equality with the
-    target's first gram substrings; shorter targets are compared with the pages directly.
+    Snippets of under 12 characters match nothing; those of a group in by look at its pages only.
+    Any occurrence of a target of 2 * gram - 1 characters or more holds one of the page's aligned
+    pieces of gram characters within its first 2 * gram - 1, so pieces are joined by equality
+    with the target's first gram substrings, the longest gram that a target allows.  Only ids
+    travel with the pieces; texts are compared for the pairs that these name.
     """
-    squash = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    s = snippets.select("snippet_id", F.substring(squash(F.col("text")), 1, 160).alias("target")).where(F.length("target") >= 12)
-    p = pages.select("page_ord", squash(F.col("text")).alias("body"))
-    long = F.length("target") >= 2 * gram - 1
-    keys = s.where(long).select("snippet_id", "target", F.explode(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda i: F.substring("target", i, gram))).alias("key"))
-    pieces = p.select("page_ord", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(f".{{{gram}}}"), F.lit(0)))).alias("key"))
-    found = pieces.join(keys, "key").where(F.contains("body", "target")).select("snippet_id", "page_ord")
-    near = p.join(s.where(~long), F.contains(F.col("body"), F.col("target"))).select("snippet_id", "page_ord")
-    return found.unionByName(near).groupBy("snippet_id").agg(F.min("page_ord").alias("page_ord"))
+    by = by or []
+    # Equal snippets are looked for once.
+    all_ = snippets.select(*by, "snippet_id", F.substring(squash(F.col("text")), 1, 160).alias("target")).where(F.length("target") >= 12)
+    s = all_.select(*by, "target").distinct()
+    p = pages.select(*by, "page_ord", squash(F.col("text")).alias("body"))
+    pairs, below = None, None
+    for gram in grams:
+        fits = F.length("target") >= 2 * gram - 1
+        mine = s.where(fits if below is None else fits & (F.length("target") < below))
+        below = 2 * gram - 1
+        keys = mine.select(*by, "target", F.explode(F.transform(F.sequence(F.lit(1), F.lit(gram)), _piece(gram))).alias("key"))
+        pieces = p.select(*by, "page_ord", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(f".{{{gram}}}"), F.lit(0)))).alias("key"))
+        found = pieces.join(keys, [*by, "key"]).select(*by, "target", "page_ord").distinct()
+        pairs = found if pairs is None else pairs.unionByName(found)
+    first = pairs.join(p, [*by, "page_ord"]).where(F.contains("body", "target")).groupBy(*by, "target").agg(F.min("page_ord").alias("page_ord"))
+    return all_.join(first, [*by, "target"]).select(*by, "snippet_id", "page_ord")
 
 
 def toc_to_page(toc: DataFrame, pages: DataFrame) -> DataFrame:
