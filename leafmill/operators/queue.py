@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.sources.shared import kept
+
+#: Columns of a job with what they are where an older table lacks them.
+JOB = {
+    "id": ("bigint", None), "project": ("string", None), "kind": ("string", None), "params": ("string", "{}"), "label": ("string", ""), "status": ("string", "queued"),
+    "created_at": ("double", None), "started_at": ("double", None), "finished_at": ("double", None), "error": ("string", None), "result": ("string", None), "cancel": ("boolean", False),
+}
+LOG = "id bigint, job_id bigint, ts double, line string"
+#: Kinds of which a project has one at most at a time.
+EXCLUSIVE = ("pipeline", "pdf-import", "video-import", "epub-import")
 #: The lane of each kind of job, and how many of a lane run at once.
 LANES = {
     "proof-chapter": "proof", "cast-analysis": "proof", "pdf-import": "import", "video-import": "import", "epub-import": "import",
@@ -90,3 +100,68 @@ def reset_from(stages: DataFrame, stage: str, order: list[str]) -> DataFrame:
     """stages with stage and all after it pending."""
     later = order[order.index(stage) :]
     return stages.withColumn("status", F.when(F.col("stage").isin(later), "pending").otherwise(F.col("status")))
+
+
+def migrated(jobs: DataFrame) -> DataFrame:
+    """jobs with every column of JOB: those that an older table lacks have their default, others are left out."""
+    return jobs.select(*((F.col(c).cast(t) if c in jobs.columns else F.lit(default).cast(t)).alias(c) for c, (t, default) in JOB.items()))
+
+
+def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows in a global order, kept, with the partition (``__part``) and a growing number (``__row``) of each."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return kept(placed.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}))
+
+
+def numbered(rows: DataFrame, order: list[str], after: int, name: str = "id") -> DataFrame:
+    """rows with consecutive numbers in order, from after + 1: places in a partition behind what earlier ones hold."""
+    placed = in_order(rows, order)
+    held = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    earlier = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    starts = held.select("__part", (F.coalesce(earlier, F.lit(0)) - F.col("__first")).alias("__shift"))
+    number = F.lit(after + 1).cast("long") + F.col("__row") + F.col("__shift")
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, number).drop("__part", "__row", "__shift")
+
+
+def admitted(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """requests(request_id, project, kind, at) with busy: an exclusive job of the project waits or runs, or came first."""
+    exclusive = F.col("kind").isin(*EXCLUSIVE)
+    held = jobs.where(exclusive & F.col("status").isin("queued", "running")).select("project", F.lit(True).alias("__held")).distinct()
+    first = requests.where(exclusive).groupBy("project").agg(F.min(F.struct("at", "request_id"))["request_id"].alias("__first"))
+    rows = requests.join(held, "project", "left").join(first, "project", "left")
+    return rows.withColumn("busy", exclusive & (F.coalesce("__held", F.lit(False)) | (F.col("request_id") != F.col("__first")))).drop("__held", "__first")
+
+
+def enqueue(requests: DataFrame, jobs: DataFrame, after: int | None = None) -> DataFrame:
+    """request_id, project, kind, id, outcome: those admitted get the next ids in order of arrival, the others none.
+
+    after is the last id given so far; by default that of jobs.  A request that asks for what a
+    project may have only once, while it has it, is busy.
+    """
+    after = (jobs.agg(F.max("id")).first()[0] or 0) if after is None else after
+    rows = admitted(requests, jobs)
+    queued = numbered(rows.where("not busy"), ["at", "request_id"], after)
+    refused = rows.where("busy").withColumn("id", F.lit(None).cast("long"))
+    return queued.unionByName(refused).select("request_id", "project", "kind", "id", F.when(F.col("busy"), "busy").otherwise("queued").alias("outcome"))
+
+
+def enqueue_batches(jobs: DataFrame, target: str):
+    """A foreachBatch sink, the single writer, that gives each epoch's requests their ids.
+
+    An epoch writes its outcomes and, last, the last id it gave; run again it gives the same
+    ids, since it starts from the end of the epoch before and looks only at earlier epochs' jobs.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        after = spark.read.parquet(f"{target}/ends/epoch={epoch - 1}").first()["id"] if epoch else (jobs.agg(F.max("id")).first()[0] or 0)
+        known = jobs.select("id", "project", "kind", "status")
+        if epoch:
+            own = spark.read.parquet(f"{target}/requests").where((F.col("epoch") < epoch) & (F.col("outcome") == "queued"))
+            now = own.select("id", "project", "kind", F.lit("queued").alias("status")).join(jobs.select("id"), "id", "left_anti")
+            known = known.unionByName(now)
+        enqueue(batch, known, after).write.mode("overwrite").parquet(f"{target}/requests/epoch={epoch}")
+        end = spark.read.parquet(f"{target}/requests/epoch={epoch}").agg(F.coalesce(F.max("id"), F.lit(after)).cast("long").alias("id"))
+        end.coalesce(1).write.mode("overwrite").parquet(f"{target}/ends/epoch={epoch}")
+
+    return sink

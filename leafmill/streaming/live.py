@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators import queue
+from leafmill.sources.shared import scratch
 
 
 def read_log(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -35,12 +36,19 @@ def sessions(log: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> D
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there into a table in memory, for small results, and returns that."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all that is there and returns its rows.
+
+    Rows that are appended go to Parquet files in the shared folder; updated aggregates, which
+    are small, to a table in memory.
+    """
+    spark = stream.sparkSession
+    path = scratch(spark, name)
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{path}/checkpoint")
+    if mode == "append":
+        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    writer.format("memory").queryName(name).start().awaitTermination()
+    return spark.table(name)
 
 
 def each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
