@@ -108,3 +108,53 @@ def model_findings(raw: Column) -> Column:
     listed = F.coalesce(F.try_variant_get(whole, "$.findings", "array<variant>"), none)
     parts = F.transform(salvage_objects(F.coalesce(raw, F.lit(""))), lambda x: F.try_parse_json(x))
     return _findings(F.when(whole.isNotNull(), listed).otherwise(parts))
+
+
+def _text(v: Column, name: str) -> Column:
+    return strip(F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit("")))
+
+
+def _said(items: Column) -> Column:
+    """Quotes of eight characters or more with their speaker, the narrator where none is named."""
+    quotes = F.transform(items, lambda v: F.struct(_text(v, "quote").alias("q"), F.coalesce(F.nullif(_text(v, "speaker"), F.lit("")), F.lit("NARRATOR")).alias("speaker")))
+    return F.filter(quotes, lambda q: F.length(q["q"]) >= 8)
+
+
+def _people(items: Column) -> Column:
+    people = F.transform(items, lambda v: F.struct(*(_text(v, n).alias(n) for n in ("name", "description", "sounds_like"))))
+    return F.filter(people, lambda p: p["name"] != "")
+
+
+def cast_reply(raw: Column, most: int = 400) -> Column:
+    """struct(characters, quotes, error) of a cast analysis, at most so many quotes.
+
+    Of a reply that can't be parsed, the whole objects in it: those with a quote are quotes,
+    others with a name characters.  error is no_json or bad_json where that leaves nothing.
+    """
+    none = F.array().cast("array<variant>")
+    whole, bare = F.try_parse_json(json_body(raw)), json_body(raw).isNull()
+    listed = lambda name: F.coalesce(F.try_variant_get(whole, f"$.{name}", "array<variant>"), none)
+    parts = F.transform(salvage_objects(F.coalesce(raw, F.lit(""))), lambda x: F.try_parse_json(x))
+    quoted = F.filter(parts, lambda v: _text(v, "quote") != "")
+    named = F.filter(parts, lambda v: _text(v, "quote") == "")
+    ok = whole.isNotNull()
+    people = _people(F.when(ok, listed("characters")).otherwise(named))
+    said = F.slice(_said(F.when(ok, listed("quotes")).otherwise(quoted)), 1, most)
+    empty = (F.size(people) == 0) & (F.size(said) == 0)
+    error = F.when(~ok & empty, F.when(bare, "no_json").otherwise("bad_json"))
+    return F.struct(people.alias("characters"), said.alias("quotes"), error.alias("error"))
+
+
+def figure_boxes(raw: Column) -> Column:
+    """array<struct(bbox, caption)> of a reply's figures: four numbers within the page, over 0.03 a side, captions cut to 200."""
+    whole = F.try_parse_json(json_body(raw))
+    items = F.coalesce(F.try_variant_get(whole, "$.figures", "array<variant>"), F.array().cast("array<variant>"))
+
+    def numbers(v: Column) -> Column:
+        values = F.coalesce(F.try_variant_get(v, "$.bbox", "array<variant>"), F.array().cast("array<variant>"))
+        plain = F.filter(values, lambda x: F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"))
+        inside = F.transform(plain, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_variant_get(x, "$", "double"), F.try_variant_get(x, "$", "boolean").cast("double")))))
+        return F.when((F.size(values) == 4) & (F.size(plain) == 4), inside)
+
+    boxes = F.transform(items, lambda v: F.struct(numbers(v).alias("bbox"), F.substring(F.coalesce(F.try_variant_get(v, "$.caption", "string"), F.lit("")), 1, 200).alias("caption")))
+    return F.filter(boxes, lambda b: F.coalesce((b["bbox"][2] - b["bbox"][0] > 0.03) & (b["bbox"][3] - b["bbox"][1] > 0.03), F.lit(False)))

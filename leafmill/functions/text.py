@@ -170,3 +170,49 @@ def toc_link(title: Column, number: Column, known: Column) -> Column:
     """A contents line as list item, linked where the chapter is known."""
     shown = F.concat_ws(" ", title, number.cast("string"))
     return F.concat(F.lit("- "), F.when(known.isNotNull(), F.concat(F.lit("["), shown, F.lit("]("), known, F.lit(")"))).otherwise(shown))
+
+
+def join_halves(parts: Column) -> Column:
+    """Readings of the parts of one page as one text.
+
+    A word hyphenated at the cut is joined, a sentence that goes on follows after a space, and a
+    heading, list or quote, or what follows the end of a sentence, is a paragraph of its own.
+    """
+    block = r"^((#{1,6}|[-*+]|\d+[.)])[^\S\n]|>)"
+    end = lambda c: F.substring(c, -1, 1)
+
+    def step(out: Column, part: Column) -> Column:
+        before = F.regexp_replace(out, r"(?U)\s+$", "")
+        ended = end(before).isin(*".!?:;\"')]}")
+        return (
+            F.when(out == "", part)
+            .when(end(before) == "-", F.concat(F.regexp_replace(before, "-$", ""), part))
+            .when((before != "") & ~ended & ~part.rlike(block), F.concat(before, F.lit(" "), part))
+            .otherwise(F.concat(before, F.lit("\n\n"), part))
+        )
+
+    filled = F.filter(F.transform(parts, lambda p: strip(F.coalesce(p, F.lit("")))), lambda p: p != "")
+    return F.aggregate(filled, F.lit(""), step)
+
+
+def voice_description(character: Column, sounds_like: Column) -> Column:
+    """A prompt for a voice from what is known of a character; names of others say nothing and go."""
+
+    def qualities(c: Column) -> Column:
+        bare = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"\.+$", "")
+        bare = F.regexp_replace(bare, r"(?U)\s*[—-]?\s*(similar to|in the vein of|like)\s+[A-Z][^,;.]*", "")
+        return F.regexp_replace(bare, "^[ ,;—-]+|[ ,;—-]+$", "")
+
+    known = F.array_join(F.filter(F.array(qualities(character), qualities(sounds_like)), lambda x: x != ""), "; ")
+    voice = F.when(known == "", "a neutral, pleasant adult voice").otherwise(known)
+    return F.concat(
+        F.lit("A speaker with this character: "), voice,
+        F.lit(". Moderate pace, expressive but controlled delivery, very clear audio, close-up recording with no background noise."),
+    )
+
+
+def labelled_isbns(c: Column) -> Column:
+    """The valid book numbers that a text labels as such, digits alone, in order."""
+    found = F.regexp_extract_all(c, F.lit(r"(?i)ISBN[\s:–-]*([\dXx][\dXx\s–-]{7,17}[\dXx])"), F.lit(1))
+    digits = F.transform(found, lambda x: F.upper(F.regexp_replace(x, r"[^\dXx]", "")))
+    return F.filter(digits, lambda d: isbn13_valid(d) | isbn10_valid(d))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import labelled_isbns
 from leafmill.operators.resolve import hamming, iou
 from leafmill.operators.review import needs_escalation
 
@@ -192,3 +193,20 @@ def read_pages(pages: DataFrame, first: str = "mock", second: str | None = "mock
         return kept.drop("flags", "again")
     again = rows.join(done.where("again").select("id"), "id", "left_semi").mapInPandas(READERS[second], schema).withColumn("read_by", F.lit(second))
     return kept.drop("flags", "again").unionByName(again)
+
+
+def by_prior(candidates: DataFrame, prior: DataFrame) -> DataFrame:
+    """candidates(page, k, x0, y0, x1, y1) with pos, best overlap with the page's box in prior first, then as they came."""
+    corners = ("x0", "y0", "x1", "y1")
+    a = candidates.select("page", "k", *(F.col(c).alias(f"a_{c}") for c in corners))
+    b = prior.select("page", *(F.col(c).alias(f"b_{c}") for c in corners))
+    rows = a.join(b, "page").withColumn("iou", iou())
+    w = Window.partitionBy("page").orderBy(F.desc(F.round("iou", 9)), "k")
+    return rows.withColumn("pos", F.row_number().over(w)).select("page", "k", "iou", "pos")
+
+
+def first_isbn(pages: DataFrame) -> DataFrame:
+    """book_id, isbn: the first valid labelled book number on a page that counts, in order; books without have no row."""
+    live = pages.where("text is not null and (status is null or status not in ('duplicate', 'deleted'))")
+    found = live.select("book_id", "page_ord", F.get(labelled_isbns(F.col("text")), 0).alias("isbn")).where("isbn is not null")
+    return found.groupBy("book_id").agg(F.min_by("isbn", "page_ord").alias("isbn"))
