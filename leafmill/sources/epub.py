@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions.pytext import html_sections
+from leafmill.functions.pytext import html_chapters
 
 PAGE = "path string, title string, author string, page_ord int, page_id string, role string, text string, figures array<struct<rel:string,caption:string,content:binary>>, error string"
 #: Names of an archive's own contents pages, and how many letters name a page's pictures.
@@ -79,7 +79,7 @@ def pages_of(content: bytes) -> list[dict]:
     if cover:
         add("cover", None, [{"rel": f"patches/p0001{posixpath.splitext(cover)[1] or '.jpg'}", "caption": "", "content": archive.zip.read(cover)}])
     for html in archive.documents():
-        for section in html_sections(html):
+        for section in html_chapters(html):
             figures: list[dict] = []
 
             def figure(m: re.Match, figures=figures) -> str:
