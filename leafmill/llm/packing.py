@@ -8,7 +8,7 @@ are covered, values every amount of room by a knapsack dynamic program, and uses
 configurations about as dear as the dearest one until each length has its step.  All
 lengths are covered in the end, and the prices give a lower bound to compare with.  The
 solution is rounded, what it leaves is solved and rounded again, and best-fit decreasing
-packs the few pieces left over.
+puts the few pieces left over into the room that is left, then into sequences of their own.
 
 The plan is run-length encoded (configuration, multiplicity), so its size does not depend
 on the number of pieces.  Pieces find their places by their rank among those of their
@@ -43,7 +43,6 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: ASCII that is seen, and the letters below U+0250 whose lower case is one character.
 PLAIN = "^[!-~À-ÖØ-öø-įı-ɏ]*$"
-_loaded: dict[str, "WordEncoder"] = {}
 
 
 def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -81,6 +80,8 @@ class WordEncoder:
             self.merges = Tokenizer.from_str(json.dumps(bare))
         self.pieces = regex.compile(PRE_TOKENS)
         self.forget()
+        del made
+        release_memory()  # what reading the vocabulary took
 
     @functools.cached_property
     def whole(self):
@@ -203,13 +204,6 @@ def _as_expected(made: dict) -> bool:
     )
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
-        release_memory()  # what reading the vocabulary took
-    return _loaded[path]
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces of the tokens of docs(doc_id, text): doc_id, piece, start, length, ids_crc32[, ids].
 
@@ -218,7 +212,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = WordEncoder(tokenizer)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for part in chunks(batches, "text", CHUNK):
             ids, ends = own.flat(pc.fill_null(column(part, "text"), "").cast(pa.string()), end_id)
@@ -234,7 +228,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
             if with_ids:
                 out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, names)
-        _loaded.clear()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema)
@@ -249,9 +242,15 @@ class Run:
     by_lp: bool = False
 
 
-def best_fit_decreasing(demand: dict[int, int], capacity: int) -> list[Run]:
-    """Best-fit decreasing on a histogram: equal bins are handled together."""
+def best_fit_decreasing(demand: dict[int, int], capacity: int, into: list[Run] | None = None) -> list[Run]:
+    """Best-fit decreasing on a histogram, equal bins handled together: all runs, those of into with what now fills their room."""
     by_room: dict[int, list[Run]] = {}
+    for g in into or []:
+        by_room.setdefault(capacity - sum(k * n for k, n in g.counts.items()), []).append(g)
+
+    def put(g: Run, length: int, n: int, times: int) -> Run:
+        return Run(g.counts | {length: g.counts.get(length, 0) + n}, times, g.by_lp)
+
     for length in sorted(demand, reverse=True):
         left = demand[length]
         for room in sorted(r for r in by_room if r >= length):
@@ -261,11 +260,11 @@ def best_fit_decreasing(demand: dict[int, int], capacity: int) -> list[Run]:
             for g in groups:
                 full = min(g.times, left // fit)
                 if full:
-                    by_room.setdefault(room - fit * length, []).append(Run(g.counts | {length: g.counts.get(length, 0) + fit}, full))
-                    g, left = Run(g.counts, g.times - full), left - full * fit
+                    by_room.setdefault(room - fit * length, []).append(put(g, length, fit, full))
+                    g, left = Run(g.counts, g.times - full, g.by_lp), left - full * fit
                 if g.times and 0 < left < fit:
-                    by_room.setdefault(room - left * length, []).append(Run(g.counts | {length: g.counts.get(length, 0) + left}, 1))
-                    g, left = Run(g.counts, g.times - 1), 0
+                    by_room.setdefault(room - left * length, []).append(put(g, length, left, 1))
+                    g, left = Run(g.counts, g.times - 1, g.by_lp), 0
                 if g.times:
                     keep.append(g)
             if keep:
@@ -281,10 +280,12 @@ def best_fit_decreasing(demand: dict[int, int], capacity: int) -> list[Run]:
 
 #: Ways to run the multiplicative weights, the next where the gap to the lower bound stays over GAP: rounds in
 #: which every length may be covered once, the weights' fall over a full cover, and how far a configuration's
-#: price may lie under the dearest one's.  The first suits lengths that fill sequences, the second others.
-WAYS, GAP, TIE = [(8, 0.02, 0.01), (32, 10.0, 0.05)], 0.01, 1e-3
-#: What rounding left is solved and rounded in turn, so often at most, or until one piece in so many is left.
-AGAIN, ENOUGH = 6, 50
+#: price may lie under the dearest one's.  The first suits lengths that fill sequences, the others few lengths.
+WAYS, GAP, TIE = [(3, 0.05, 0.02), (8, 0.02, 0.01), (32, 10.0, 0.05)], 0.01, 1e-3
+#: What rounding left is solved, by the first way, and rounded in turn, so often in all.
+SOLVES = 3
+#: Shares of the rounded configurations, the fullest first, that are tried at the end; all of them stay on ties.
+KEPT_SHARES = (1, 0.95, 0.9, 0.8, 0.7, 0.5, 0.3, 0.1, 0)
 
 
 def room_values(price: np.ndarray) -> np.ndarray:
@@ -296,13 +297,13 @@ def room_values(price: np.ndarray) -> np.ndarray:
     return best
 
 
-def configuration_lp(demand: dict[int, int], capacity: int) -> tuple[dict[tuple, float], float]:
+def configuration_lp(demand: dict[int, int], capacity: int, ways: list[tuple] | None = None) -> tuple[dict[tuple, float], float]:
     """Amounts of configurations that cover the demand, and a lower bound of their sum.
 
     A configuration is a tuple of (length, pieces), and holds no more of a length than there are.
     """
     best, bound = None, 0.0
-    for way in WAYS:
+    for way in ways or WAYS:
         amounts, low = _weighted(demand, capacity, *way)
         bound = max(bound, low)
         if best is None or sum(amounts.values()) < sum(best.values()):
@@ -378,30 +379,44 @@ def _rounded(amounts: dict[tuple, float], left: dict[int, int]) -> list[Run]:
     return runs
 
 
+def _room(run: Run, capacity: int) -> int:
+    return capacity - sum(k * n for k, n in run.counts.items())
+
+
 def plan(demand: dict[int, int], capacity: int) -> list[Run]:
     """Runs that hold exactly the demand.
 
-    The linear program is rounded, then again for what that left, as long as this costs no
-    sequence more than best-fit decreasing of the rest.  Should best-fit decreasing of all need
-    fewer sequences, which happens where there are few lengths, it stands.
+    The linear program is rounded, then again for what that left.  Configurations stay if no
+    length of the table would fit into their room; of those the fullest, as large a share as
+    needs fewest sequences in the end.  Best-fit decreasing puts the pieces left over into what
+    room there is and, last, into sequences of their own.
     """
-    greedy = best_fit_decreasing({k: n for k, n in demand.items() if n > 0}, capacity)
-    runs = [Run({k: 1}, n, True) for k, n in demand.items() if k == capacity and n > 0]
+    whole = [Run({k: 1}, n, True) for k, n in demand.items() if k == capacity and n > 0]
     left = {k: n for k, n in demand.items() if k < capacity and n > 0}
-    best, pieces = None, sum(left.values())
-    for _ in range(AGAIN):
+    least, runs = min(left, default=0), []
+    for k in range(SOLVES):
         if not left:
             break
-        found = _rounded(configuration_lp(left, capacity)[0], left)
-        runs = runs + found
+        found = _rounded(configuration_lp(left, capacity, WAYS if not k else WAYS[:1])[0], left)
+        _put_back([g for g in found if _room(g, capacity) >= least], left)
+        runs += [g for g in found if _room(g, capacity) < least]
         left = {k: n for k, n in left.items() if n}
-        whole = runs + best_fit_decreasing(left, capacity)
-        if best is None or sum(g.times for g in whole) <= sum(g.times for g in best):
-            best = whole
-        if not found or sum(left.values()) * ENOUGH <= pieces:
-            break
-    best = runs if best is None else best
-    return best if sum(g.times for g in best) <= sum(g.times for g in greedy) else greedy
+    best = None
+    runs.sort(key=lambda g: (_room(g, capacity), -g.times))
+    for share in KEPT_SHARES:
+        n = round(len(runs) * share)
+        rest = dict(left)
+        _put_back(runs[n:], rest)
+        made = best_fit_decreasing(rest, capacity, runs[:n])
+        if best is None or sum(g.times for g in made) < sum(g.times for g in best):
+            best = made
+    return whole + best
+
+
+def _put_back(runs: list[Run], left: dict[int, int]) -> None:
+    for g in runs:
+        for k, n in g.counts.items():
+            left[k] = left.get(k, 0) + n * g.times
 
 
 def _slots(runs: list[Run]) -> dict[int, np.ndarray]:
