@@ -113,6 +113,25 @@ def fit_language_model(texts: list[bytes], languages: list[str], epochs: int = 1
     return LanguageModel(names, book, w.astype(np.float32), bias)
 
 
+def _smallest_hashes(ids: DataFrame, wanted: int) -> DataFrame:
+    """Of ids(doc_id, lang) a few times wanted of each language, with all of its wanted smallest hashes among them.
+
+    A language's share of the hashes is set by its rows, and doubled until it holds enough; so
+    no language, however common, is sorted in one task.
+    """
+    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    share = {k: min(1.0, 3 * wanted / n) for k, n in counts.items()}
+    place = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    while True:
+        limits = ids.sparkSession.createDataFrame(list(share.items()), "lang string, most double")
+        near = ids.join(F.broadcast(limits), "lang").where(place <= F.col("most")).drop("most")
+        held = {r["lang"]: r["n"] for r in near.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        short = [k for k, n in counts.items() if share[k] < 1 and held.get(k, 0) < min(wanted, n)]
+        if not short:
+            return near
+        share |= {k: min(1.0, 2 * share[k]) for k in short}
+
+
 def learn_languages(docs: DataFrame, training: Column, rows_per_language: int = 500) -> LanguageModel:
     """Fits on at most rows_per_language labelled rows of each language, chosen by a hash of doc_id.
 
@@ -121,7 +140,8 @@ def learn_languages(docs: DataFrame, training: Column, rows_per_language: int =
     """
     ids = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_language).select("doc_id").distinct().collect()
+    near = _smallest_hashes(ids, rows_per_language)
+    chosen = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_language).select("doc_id").distinct().collect()
     ids = docs.sparkSession.createDataFrame([(r[0],) for r in chosen], "doc_id long")
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))

@@ -442,3 +442,17 @@ def test_scores_match_brute_force(spark, monkeypatch):
 
     for row in out:
         assert row.score == pytest.approx(score(texts[row.doc_id]), rel=1e-3, abs=1e-3)
+
+
+def test_languages_are_fitted_on_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, ["en", "de", "de", "de", "de", "xx"][k % 6] if k % 50 else "rare") for k in range(3000)]
+    ids = spark.createDataFrame(rows, "doc_id long, lang string").repartition(5)
+    hashed = [tuple(r) for r in ids.select("lang", F.xxhash64("doc_id"), "doc_id").collect()]
+    near = {r.doc_id for r in lang_id._smallest_hashes(ids, 40).collect()}
+    for lang in ("en", "de", "xx", "rare"):
+        mine = sorted(h for h in hashed if h[0] == lang)
+        assert {h[2] for h in mine[:40]} <= near
+    assert len(near) < 4 * 300
+    assert lang_id._smallest_hashes(ids.limit(0), 40).count() == 0
