@@ -43,12 +43,29 @@ def sign_hash(vector: str) -> Column:
     return F.lower(F.concat(*(F.lpad(F.conv(bits(s), 2, 16), 8, "0") for s in (1, 33))))
 
 
+#: Hashes of one label that are compared in one group at most; more are cut into tiles.
+TILE = 4096
+
+
+def hash_bits(c: Column) -> Column:
+    """A hash of 16 hex digits as one number of 64 bits."""
+    half = lambda at: F.conv(F.substring(c, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
 def hamming_pairs(hashes: DataFrame, most: int = 20) -> DataFrame:
-    """Pairs id_a < id_b of one label whose hashes differ in at most most bits."""
-    a = hashes.select("label", F.col("id").alias("id_a"), F.col("hash").alias("h_a"))
-    b = hashes.select("label", F.col("id").alias("id_b"), F.col("hash").alias("h_b"))
-    pairs = a.join(b, "label").where("id_a < id_b").withColumn("distance", hamming("h_a", "h_b"))
-    return pairs.where(F.col("distance") <= most).select("label", "id_a", "id_b", "distance")
+    """Pairs id_a < id_b of one label whose hashes differ in at most most bits.
+
+    Hashes become numbers once.  A label's are dealt to tiles, and each pair of tiles is a group
+    of its own, so a label that holds most rows is many tasks; a pair of rows meets once.
+    """
+    tiles = hashes.groupBy("label").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
+    rows = hashes.join(tiles, "label").select("label", "id", hash_bits(F.col("hash")).alias("bits"), F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile"), "tiles")
+    a = rows.select("label", F.col("tile").alias("ta"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tb"), F.col("id").alias("a"), F.col("bits").alias("bits_a"))
+    b = rows.select("label", F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("ta"), F.col("tile").alias("tb"), F.col("id").alias("b"), F.col("bits").alias("bits_b"))
+    pairs = a.join(b, ["label", "ta", "tb"]).where((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b")))
+    pairs = pairs.withColumn("distance", F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))).where(F.col("distance") <= most)
+    return pairs.where("a <> b").select("label", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "distance")
 
 
 def majority_hash(hashes: DataFrame) -> DataFrame:
@@ -130,3 +147,69 @@ def split_spreads(pages: DataFrame) -> DataFrame:
     return pages.select(*pages.columns, F.posexplode(sides).alias("spread_order", "side")).withColumn(
         "id", F.when(F.col("side") == "right", F.concat("id", F.lit("r"))).otherwise(F.col("id"))
     )
+
+
+#: The map that changes nothing, row by row.
+IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
+
+
+def _times(a: Column, b: Column) -> Column:
+    """Product of two 3 x 3 matrices, row by row."""
+    return F.array(*(sum((a[3 * i + k] * b[3 * k + j] for k in range(1, 3)), a[3 * i] * b[j]) for i in range(3) for j in range(3)))
+
+
+def _inverse(m: Column) -> Column:
+    """What undoes a projective map, up to a factor, which doesn't matter to it."""
+    minor = lambda i, j: m[3 * ((i + 1) % 3) + (j + 1) % 3] * m[3 * ((i + 2) % 3) + (j + 2) % 3] - m[3 * ((i + 1) % 3) + (j + 2) % 3] * m[3 * ((i + 2) % 3) + (j + 1) % 3]
+    raw = F.array(*(minor(j, i) for i in range(3) for j in range(3)))
+    # Scaled by a power of two, which loses nothing, so that long chains stay within range.
+    power = lambda r: F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform(r, F.abs)))))
+    sized = F.transform(F.array(raw), lambda r: F.struct(r.alias("r"), power(r).alias("by")))
+    return F.get(F.transform(sized, lambda s: F.transform(s["r"], lambda x: x / s["by"])), 0)
+
+
+_FOLDED = "struct<matrix:array<double>,clips:array<struct<matrix:array<double>,w:double,h:double>>>"
+
+
+def folded_steps(steps: DataFrame) -> DataFrame:
+    """page, matrix, clips: the chain of steps(page, pos, kind, matrix, w, h) of each page as one map back to its source.
+
+    homography steps map a page's image onward, by pos; a clip is a boundary that points pass on
+    their way back.  matrix takes output points to the source; clips has each boundary with the
+    map that takes output points to where it applies.  A page's steps are few and fold in order.
+    """
+    undone = F.when(F.col("kind") == "homography", _inverse(F.col("matrix")))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("pos")).alias("back"), "kind", "undone", "w", "h")))
+    one = F.array(*map(F.lit, IDENTITY))
+
+    def step(s: Column, x: Column) -> Column:
+        clip = F.struct(s["matrix"].alias("matrix"), x["w"].alias("w"), x["h"].alias("h"))
+        onward = F.when(x["kind"] == "homography", _times(x["undone"], s["matrix"])).otherwise(s["matrix"])
+        return F.struct(onward.alias("matrix"), F.when(x["kind"] == "clip", F.concat(s["clips"], F.array(clip))).otherwise(s["clips"]).alias("clips")).cast(_FOLDED)
+
+    start = F.struct(one.alias("matrix"), F.array().alias("clips")).cast(_FOLDED)
+    return steps.withColumn("undone", undone).groupBy("page").agg(F.aggregate(listed, start, step).alias("x")).select("page", "x.matrix", "x.clips")
+
+
+def _mapped(m: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    over = m[6] * x + m[7] * y + m[8]
+    return (m[0] * x + m[1] * y + m[2]) / over, (m[3] * x + m[4] * y + m[5]) / over
+
+
+def source_points(points: DataFrame, steps: DataFrame) -> DataFrame:
+    """points(page, x, y) with source_x, source_y and margin, mapped once through the whole chain.
+
+    margin is how far inside the nearest boundary a point is, negative outside, and a million
+    where there is none; points of pages without steps are their own source.
+    """
+    rows = points.join(folded_steps(steps), "page", "left")
+    m = F.coalesce("matrix", F.array(*map(F.lit, IDENTITY)))
+    x, y = _mapped(m, F.col("x"), F.col("y"))
+
+    def inside(c: Column) -> Column:
+        cx, cy = _mapped(c["matrix"], F.col("x"), F.col("y"))
+        return F.least(cx + 0.5, c["w"] - 0.5 - cx, cy + 0.5, c["h"] - 0.5 - cy)
+
+    margins = F.transform(F.coalesce("clips", F.array().cast("array<struct<matrix:array<double>,w:double,h:double>>")), inside)
+    margin = F.least(F.coalesce(F.array_min(margins), F.lit(1e6)), F.lit(1e6))
+    return rows.withColumns({"source_x": x, "source_y": y, "margin": margin}).drop("matrix", "clips")

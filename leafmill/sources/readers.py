@@ -32,7 +32,11 @@ def frame_files(spark: SparkSession, path: str) -> DataFrame:
 def frame_scores(spark: SparkSession, path: str) -> DataFrame:
     """Score records of all videos, one JSON array a file named scores_VIDEO.json; frame_id joins both names."""
     rows = spark.read.schema(SCORE).option("multiLine", True).json(path)
-    rows = rows.withColumn("video", F.regexp_extract(F.col("_metadata.file_name"), r"scores_(.+)\.json$", 1))
+    return with_frame_ids(rows.withColumn("video", F.regexp_extract(F.col("_metadata.file_name"), r"scores_(.+)\.json$", 1)))
+
+
+def with_frame_ids(rows: DataFrame) -> DataFrame:
+    """Score records with frame_id, their video's and their frame's name."""
     return rows.withColumn("frame_id", F.concat_ws("_", "video", F.regexp_replace("frame", r"\.jpg$", "")))
 
 

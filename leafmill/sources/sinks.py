@@ -5,19 +5,41 @@ from __future__ import annotations
 import io
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def snapshot(df: DataFrame, path: str) -> None:
-    """Replaces the Parquet table at path: written beside it, then renamed into its place."""
+    """Replaces the Parquet table at path: written beside it, then put into its place.
+
+    The table that was there is moved aside and deleted last; should a run end between, the next
+    one, or recovered(), puts it back.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
-    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(fresh.toString())
-    store.delete(target, True)
-    store.rename(fresh, target)
+    store, at = _store(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    recovered(spark, path)
+    if store.exists(at(path)) and not store.rename(at(path), at(f"{path}.old")):
+        raise OSError(f"{path} cannot be moved aside")
+    if not store.rename(at(f"{path}.new"), at(path)):
+        store.rename(at(f"{path}.old"), at(path))
+        raise OSError(f"{path} cannot be replaced")
+    store.delete(at(f"{path}.old"), True)
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """Finishes a replacement that was cut short: what was moved aside is the table again if there is none."""
+    store, at = _store(spark, path)
+    if store.exists(at(f"{path}.old")):
+        if store.exists(at(path)):
+            store.delete(at(f"{path}.old"), True)
+        elif not store.rename(at(f"{path}.old"), at(path)):
+            raise OSError(f"{path} cannot be put back")
+
+
+def _store(spark: SparkSession, path: str):
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to_path
 
 
 def scores_by_video(scores: DataFrame, path: str) -> None:
