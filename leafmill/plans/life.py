@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.operators import captures, resolve, review, sequence
 from leafmill.plans import fixtures as fx
 from leafmill.plans.core import HAVE, LACK, LISTED, REASONED, WORK
+from leafmill.plans.core import HASH
 from leafmill.plans.fixtures import oracle
 
 QUERIES, ORACLES = {}, {}
@@ -85,19 +87,61 @@ def merge_regions(spark, sf_dir):
     return captures.merge_regions(old, new).select("id", names.alias("regions"))
 
 
-@query()
+_OVERLAP = "greatest(0.0, least({0}.x1, {1}.x1) - greatest({0}.x0, {1}.x0)) * greatest(0.0, least({0}.y1, {1}.y1) - greatest({0}.y0, {1}.y0))"
+_AREA = "(({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0))"
+#: Of boxes of one page and name that with the smallest corners.
+BOXES = "select * from regions qualify row_number() over (partition by page, box order by x0, y0, x1, y1) = 1"
+
+
+def _single(boxes):
+    w = Window.partitionBy("page", "box").orderBy("x0", "y0", "x1", "y1")
+    return boxes.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+@query(
+    oracle(
+        "select page, unnest(chosen).region as region, unnest(chosen).box as box from (select *, row_number() over (partition by page order by i desc) as last from w) where last = 1 and len(chosen) > 0",
+        "regions",
+        boxes=BOXES,
+        pairs=f"select a.page, a.box as region, b.box, {_OVERLAP.format('a', 'b')} as inter, {_AREA.format('a')} + {_AREA.format('b')} as areas, {_AREA.format('b')} as area from (select page, box, x0, y0, x1 * 0.9 as x1, y1 from boxes where box % 2 = 0) a join boxes b on a.page = b.page and b.box % 2 = 1",
+        own="select page, region, list({'box': box, 'iou': case when areas - inter > 0 then inter / (areas - inter) else 0 end, 'area': area} order by box) as own, row_number() over (partition by page order by region) as i from pairs group by page, region",
+        w="""select page, cast(0 as bigint) as i, cast([] as struct(region bigint, box bigint)[]) as chosen from (select distinct page from own) union all
+ select page, i, case when len(near) > 0 then list_append(chosen, {'region': region, 'box': list_sort(list_transform(near, lambda p: {'k': -p.iou, 'b': p.box}))[1].b}) when len(free) > 0 then list_append(chosen, {'region': region, 'box': list_sort(list_transform(free, lambda p: {'k': -p.area, 'b': p.box}))[1].b}) else chosen end
+ from (select *, list_filter(free, lambda p: p.iou > 0.05) as near from (select w.page, own.i, chosen, region, list_filter(own, lambda p: not list_contains(list_transform(chosen, lambda c: c.box), p.box)) as free from w join own on own.page = w.page and own.i = w.i + 1))""",
+    ).replace("with ", "with recursive ", 1)
+)
 def greedy_boxes(spark, sf_dir):
-    boxes = fx.regions(spark, sf_dir).dropDuplicates(["page", "box"])
+    boxes = _single(fx.regions(spark, sf_dir))
     regions = boxes.where("box % 2 = 0").withColumnRenamed("box", "region").withColumn("x1", F.col("x1") * 0.9)
     return captures.greedy_boxes(regions, boxes.where("box % 2 = 1"))
 
 
-@query()
+@query(
+    oracle(
+        "select page, unnest(taken).box as box from (select *, row_number() over (partition by page order by i desc) as last from w) where last = 1",
+        "regions",
+        boxes=BOXES,
+        own=f"select *, {_AREA.format('boxes')} as area, row_number() over (partition by page order by -{_AREA.format('boxes')}, box) as i from boxes",
+        w="""select page, cast(1 as bigint) as i, [{'box': box, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'area': area}] as taken from own where i = 1 union all
+ select o.page, o.i, case when len(list_filter(taken, lambda t: case when o.area + t.area - (greatest(least(o.x1, t.x1) - greatest(o.x0, t.x0), 0) * greatest(least(o.y1, t.y1) - greatest(o.y0, t.y0), 0)) > 0
+  then (greatest(least(o.x1, t.x1) - greatest(o.x0, t.x0), 0) * greatest(least(o.y1, t.y1) - greatest(o.y0, t.y0), 0)) / (o.area + t.area - (greatest(least(o.x1, t.x1) - greatest(o.x0, t.x0), 0) * greatest(least(o.y1, t.y1) - greatest(o.y0, t.y0), 0))) else 0 end >= 0.6)) = 0
+  then list_append(taken, {'box': o.box, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'area': o.area}) else taken end from w join own o on o.page = w.page and o.i = w.i + 1""",
+    ).replace("with ", "with recursive ", 1)
+)
 def candidate_boxes(spark, sf_dir):
-    return captures.candidate_boxes(fx.regions(spark, sf_dir).dropDuplicates(["page", "box"]))
+    return captures.candidate_boxes(_single(fx.regions(spark, sf_dir)))
 
 
-@query()
+@query(
+    oracle(
+        "select label, id, leader from w",
+        hashes=HASH,
+        own="select label, id, ('0x' || hash[1:8])::bigint as hi, ('0x' || hash[9:16])::bigint as lo, row_number() over (partition by label order by id) as i from hashes",
+        w="""select label, i, id, id as leader, [{'id': id, 'hi': hi, 'lo': lo}] as leaders from own where i = 1 union all
+ select label, i, id, coalesce(found, id), case when found is null then list_append(leaders, {'id': id, 'hi': hi, 'lo': lo}) else leaders end from
+ (select o.*, leaders, list_min(list_transform(list_filter(leaders, lambda l: bit_count(xor(l.hi, o.hi)) + bit_count(xor(l.lo, o.lo)) <= 20), lambda l: l.id)) as found from w join own o on o.label = w.label and o.i = w.i + 1)""",
+    ).replace("with ", "with recursive ", 1)
+)
 def figure_clusters(spark, sf_dir):
     rows = fx.load(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), resolve.sign_hash("embedding").alias("hash"))
     return captures.figure_clusters(rows, 20)
@@ -144,7 +188,10 @@ def voice_paths(spark, sf_dir):
     return narrate.resolve_voices(wanted, own, wanted.where("voice % 3 = 0").select("voice", F.lit("shared").alias("path")))
 
 
-@query()
+@query(
+    "select conv_id, ';FFMETADATA1' || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || s || chr(10) || 'END=' || e || chr(10) || 'title=a\\=' || turn, chr(10) order by turn) || chr(10) as metadata from"
+    " (select conv_id, turn, cast(floor(round(coalesce(sum(d) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) * 1000, 6)) as bigint) as s, cast(floor(round(sum(d) over (partition by conv_id order by turn) * 1000, 6)) as bigint) as e from (select conv_id, turn, length(text) / 16.0 / 1.25 as d from conversations)) group by 1"
+)
 def chapter_metadata(spark, sf_dir):
     from leafmill.operators import narrate
 

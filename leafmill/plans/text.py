@@ -222,7 +222,18 @@ def figure_references(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha1(text.figure_reference(md, F.lit(2), F.lit("![f](figures/a.png)")).cast("binary")).alias("digest"))
 
 
-@query()
+#: The same rules one after the other; white space is trimmed as far as the texts have it.
+_WHITE = "' ' || chr(9) || chr(10) || chr(13)"
+NARRATED = "select doc_id, '# Title' || chr(10) || '> quoted **bold** text — dash' || chr(10) || '| a | b |' || chr(10) || '---' || chr(10) || text || ' ![f](x.png) [link](y)<sup>3</sup>' as t from documents"
+for _pattern, _new in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"(?s)<sup>.*?</sup>|<sub>.*?</sub>", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"</?[a-zA-Z][^>]*>", "")):
+    NARRATED = f"select doc_id, regexp_replace(t, '{_pattern}', '{_new}', 'g') as t from ({NARRATED})"
+NARRATED = f"select doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, {_WHITE})), lambda x: not starts_with(x, '|') and not regexp_matches(x, '^[-*_]{{3,}}$')) as l from ({NARRATED})"
+NARRATED = f"select doc_id, array_to_string(list_transform(l, lambda x: regexp_replace(regexp_replace(x, '^#{{1,6}}\\s+', ''), '^[> ]+', '')), chr(10)) as t from ({NARRATED})"
+NARRATED = f"select doc_id, regexp_replace(t, '\\*\\*(.+?)\\*\\*|__(.+?)__|\\*(.+?)\\*|_(.+?)_|`(.+?)`', '\\1\\2\\3\\4\\5', 'g') as t from ({NARRATED})"
+NARRATED = f"select doc_id, trim(regexp_replace(regexp_replace(replace(replace(t, '—', ', '), '–', ' to '), '[ \t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_WHITE}) as text from ({NARRATED})"
+
+
+@query(NARRATED)
 def narration_text(spark, sf_dir):
     md = F.concat(F.lit("# Title\n> quoted **bold** text — dash\n| a | b |\n---\n"), F.col("text"), F.lit(" ![f](x.png) [link](y)<sup>3</sup>"))
     return documents(spark, sf_dir).select("doc_id", text.narration(md).alias("text"))
@@ -379,7 +390,11 @@ def audio_markers(spark, sf_dir):
     return narrate.markers(rows, ["conv_id"], "turn", 1.25)
 
 
-@query()
+@query(
+    "select chapter, ord, speaker, cast(at0 + length(q) - length(ltrim(q, ' ' || chr(9) || chr(10) || chr(13))) as int) as start, cast(at0 + length(rtrim(q, ' ' || chr(9) || chr(10) || chr(13))) as int) as stop from"
+    " (select conv_id as chapter, turn as ord, case when role = 'system' then 'NARRATOR' else role end as speaker, text as q, coalesce(sum(length(text) + 1) over (partition by conv_id order by turn, text rows between unbounded preceding and 1 preceding), 0) as at0 from conversations)"
+    " where length(replace(regexp_replace(trim(q, ' ' || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g'), '…', '...')) >= 8"
+)
 def locate_quotes(spark, sf_dir):
     return narrate.located(*_spoken(spark, sf_dir))
 
@@ -403,7 +418,11 @@ def speech_chunks(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(cut("text")).alias("part", "text"))
 
 
-@query()
+@query(
+    "with recursive d as (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as t from documents), p as (select doc_id, string_split(t, chr(10) || chr(10)) as l from d where length(t) > 18000 * 1.3),"
+    " w as (select doc_id, 1 as i, 0 as part, length(l[1]) as size from p union all select w.doc_id, i + 1, case when size + length(l[i + 1]) <= 18000 then part else part + 1 end, case when size + length(l[i + 1]) <= 18000 then size + length(l[i + 1]) + 2 else length(l[i + 1]) end from w join p on p.doc_id = w.doc_id where i < len(l))"
+    " select doc_id, cast(part as int) as part, cast(max(size) as int) as chars from w group by 1, 2 union all select doc_id, 0, cast(length(t) as int) from d where length(t) <= 18000 * 1.3"
+)
 def analysis_windows(spark, sf_dir):
     cut = F.udf(pytext.paragraph_windows, "array<string>", useArrow=True)
     return documents(spark, sf_dir).select("doc_id", F.posexplode(cut(F.regexp_replace("text", "\n", "\n\n"))).alias("part", "text")).select("doc_id", "part", F.length("text").alias("chars"))

@@ -193,9 +193,13 @@ def windowed_counts_stream(spark, sf_dir):
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(
+    "select user_id, min(ts) as start, max(ts) + interval 6 hour as stop, count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id) as s from"
+    " (select user_id, event_id, cast(ts as timestamp) as ts, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 6 hour then 0 else 1 end as new from events)) group by user_id, s"
+)
 def session_stream(spark, sf_dir):
-    return live.drain(live.sessions(_log(spark, sf_dir), "6 hours", "30 days"), _name("sessions"), "complete")
+    rows = live.drain(live.sessions(_log(spark, sf_dir), "6 hours", "30 days"), _name("sessions"), "complete")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
 @query()
