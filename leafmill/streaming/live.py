@@ -59,19 +59,23 @@ def each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
 def claim_batch(jobs: DataFrame, target: str) -> Callable[[DataFrame, int], None]:
     """A sink that, as the single writer, adds an epoch's claimable jobs to the table at target.
 
-    What earlier epochs claimed counts as running: no job is claimed twice, and lanes keep
-    their caps.  An epoch that is run again replaces its own claims.
+    A batch has new jobs and news of old ones, (id, project, kind, status); of several rows of one
+    id the furthest on counts.  What is claimed runs until news of its end frees its lane.  An
+    epoch reads only the state that the one before left at target-state, the jobs that wait or
+    run, and jobs before the first; an epoch that is run again replaces its own claims and state.
     """
-    schema = "lane string, id long"
+    names = ["id", "project", "kind", "status"]
+    stage = F.when(F.col("status") == "queued", 0).when(F.col("status") == "running", 1).otherwise(2)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        arrived = jobs.unionByName(batch.select(*jobs.columns))
-        if epoch:
-            paths = [f"{target}/epoch={k}" for k in range(epoch)]
-            held = batch.sparkSession.read.schema(schema).option("ignoreMissingFiles", "true").parquet(*paths).select("id").distinct()
-            held = held.withColumn("held", F.lit(True))
-            status = F.when(F.col("held") & (F.col("status") == "queued"), "running").otherwise(F.col("status"))
-            arrived = arrived.join(held, "id", "left").withColumn("status", status).select(*jobs.columns)
-        queue.claimable(arrived).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        spark = batch.sparkSession
+        before = spark.read.schema(jobs.select(names).schema).parquet(f"{target}-state/epoch={epoch - 1}") if epoch else jobs.select(names)
+        now = before.unionByName(batch.select(names)).groupBy("id").agg(F.max_by(F.struct("project", "kind", "status"), stage).alias("j")).select("id", "j.*")
+        claims = f"{target}/epoch={epoch}"
+        queue.claimable(now).write.mode("overwrite").parquet(claims)
+        taken = spark.read.schema("lane string, id long").parquet(claims).select("id", F.lit(True).alias("taken"))
+        status = F.when(F.col("taken"), "running").otherwise(F.col("status"))
+        left = now.join(taken, "id", "left").withColumn("status", status).where("status in ('queued', 'running')").select(names)
+        left.write.mode("overwrite").parquet(f"{target}-state/epoch={epoch}")
 
     return sink

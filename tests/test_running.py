@@ -157,3 +157,16 @@ def test_older_tables_gain_columns(spark):
 def test_readers_of_files_that_are_not_there(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         readers.manifests(spark, f"{tmp_path}/none.json").collect()
+
+
+def test_lanes_are_freed_by_what_ends(spark, tmp_path):
+    fields, target = "id long, project long, kind string, status string", str(tmp_path / "claims")
+    jobs = spark.createDataFrame([(1, 1, "tts", "running"), (2, 1, "tts", "queued")], fields)
+    sink = live.claim_batch(jobs, target)
+    batches = [[(3, 1, "tts", "queued"), (4, 1, "build", "queued")], [(1, 1, "tts", "done"), (5, 1, "build", "queued")], [(2, 1, "tts", "error"), (4, 1, "build", "canceled")], []]
+    for epoch, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, fields), epoch)
+        sink(spark.createDataFrame(rows, fields), epoch)
+    got = sorted((r.epoch, r.id) for r in spark.read.parquet(target).collect())
+    assert got == [(0, 4), (1, 2), (2, 3), (2, 5)]
+    assert {r.id for r in spark.read.parquet(f"{target}-state/epoch=3").collect()} == {3, 5}
