@@ -44,7 +44,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def phrase_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -111,7 +111,8 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    numbered = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return numbered | {"phrase_proximity": phrase_proximity}
 
 
 def oracle_sql() -> dict[str, str]:
