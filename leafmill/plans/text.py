@@ -405,7 +405,22 @@ def _spoken(spark, sf_dir):
     return chapters, quotes
 
 
-@query()
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+@query(
+    oracle(
+        f"select chapter, cast(row_number() over (partition by chapter order by at0, k) - 1 as int) as part, voice, run as text from pieces where trim(run, {_BLANK}) <> ''",
+        texts="select conv_id as chapter, string_agg(text, chr(10) order by turn, text) as t from conversations group by 1",
+        spans=f"""select chapter, v as voice, at0 + length(q) - length(ltrim(q, {_BLANK})) as start, at0 + length(rtrim(q, {_BLANK})) as stop from
+ (select conv_id as chapter, case role when 'assistant' then 'v1' when 'user' then 'v2' end as v, text as q, coalesce(sum(length(text) + 1) over (partition by conv_id order by turn, text rows between unbounded preceding and 1 preceding), 0) as at0 from conversations)
+ where v is not null and length(replace(regexp_replace(trim(q, {_BLANK}), '\\s+', ' ', 'g'), '…', '...')) >= 8""",
+        placed="select *, lag(stop, 1, 0) over (partition by chapter order by start) as before from spans",
+        pieces="""select chapter, start as at0, 0 as k, '' as voice, substring(t, cast(before + 1 as int), cast(start - before as int)) as run from placed join texts using (chapter)
+ union all select chapter, start, 1, voice, substring(t, cast(start + 1 as int), cast(stop - start as int)) from placed join texts using (chapter)
+ union all select chapter, 1000000000, 0, '', substring(t, cast(coalesce(most, 0) + 1 as int)) from texts left join (select chapter, max(stop) as most from spans group by 1) using (chapter)""",
+    )
+)
 def voice_segments(spark, sf_dir):
     chapters, quotes = _spoken(spark, sf_dir)
     voices = spark.createDataFrame([("assistant", "v1"), ("user", "v2")], "speaker string, voice string")
