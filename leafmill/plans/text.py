@@ -316,7 +316,27 @@ def _edits(spark, sf_dir):
     return rows.unionByName(more)
 
 
-@query()
+def _count(text: str, quote: str) -> str:
+    return f"((length({text}) - length(replace({text}, {quote}, ''))) // length({quote}))"
+
+
+#: The quotes are cut from the texts, so they are there; their replacements are like none that is over 20 characters.
+EDITED = {
+    "d": "select source, doc_id, text, 'FIXED ' || doc_id as new, case when len(w) > 8 then w[2] || ' ' || w[3] || ' ' || w[4] end as q from (select *, string_split(text, ' ') as w from documents)",
+    "a": f"select *, case when doc_id % 5 = 0 then null when doc_id % 7 = 0 then 'reference' when length(q) > 40 and length(new) < 0.6 * length(q) then 'unsafe:loss' when length(q) > 20 then 'unsafe:rewrite' when {_count('text', 'q')} > 1 then 'ambiguous:' || {_count('text', 'q')} end as why from d",
+    "b": "select *, q is not null and why is null as done1, case when q is not null and why is null then replace(text, q, new) else text end as t1 from a",
+    "c": f"select *, {_count('t1', chr(39) + 'the' + chr(39))} as n from b",
+    "e": "select *, n = 1 or (n > 0 and doc_id % 2 = 0) as done2, case when n = 0 then 'not_found' else 'ambiguous:' || n end as why2 from c",
+}
+
+
+@query(
+    oracle(
+        "select source as book_id, doc_id as ch_idx, sha1(case when done2 then replace(t1, 'the', 'THE') else t1 end) as digest, cast(done1::int + done2::int as int) as applied,"
+        " '[' || case when q is null then '' else '{\"f_idx\":1,\"applied\":' || done1 || case when done1 then '' else ',\"skip_reason\":\"' || why || '\"' end || '},' end || '{\"f_idx\":2,\"applied\":' || done2 || case when done2 then '' else ',\"skip_reason\":\"' || why2 || '\"' end || '}]' as results from e",
+        **EDITED,
+    )
+)
 def apply_edits(spark, sf_dir):
     chapters = documents(spark, sf_dir).selectExpr("source as book_id", "doc_id as ch_idx", "text")
     out = proof.apply_edits(chapters, _edits(spark, sf_dir))
