@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from leafmill.llm.common import chunks, column, tidy, utf8
+from leafmill.llm.common import chunks, column, tidy, utf8, written
 
 BUCKETS = 1 << 15
 SCALE = 40.0
@@ -139,6 +139,7 @@ def learn_languages(docs: DataFrame, training: Column, rows_per_language: int =
     What is gathered is rows_per_language times the number of languages.
     """
     ids = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    ids = written(ids, "ids")  # texts are read once for it
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     near = _smallest_hashes(ids, rows_per_language)
     chosen = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_language).select("doc_id").distinct().collect()
