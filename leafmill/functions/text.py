@@ -92,9 +92,15 @@ def isbn10_valid(c: Column) -> Column:
     return F.coalesce(u.rlike("^[0-9]{9}[0-9X]$") & (total % 11 == 0), F.lit(False))
 
 
-def isbn13_valid(c: Column) -> Column:
+def isbn13_sums(c: Column) -> Column:
+    """Whether thirteen digits of any prefix sum to a multiple of 10 with weights 1 and 3 in turn."""
     total = sum((F.substring(c, i, 1).try_cast("int") * (1 if i % 2 else 3) for i in range(1, 14)), F.lit(0))
-    return F.coalesce(c.rlike("^97[89][0-9]{10}$") & (total % 10 == 0), F.lit(False))
+    return F.coalesce(c.rlike("^[0-9]{13}$") & (total % 10 == 0), F.lit(False))
+
+
+def isbn13_valid(c: Column) -> Column:
+    """The same of a book's number, which begins with 978 or 979."""
+    return F.coalesce(c.rlike("^97[89]"), F.lit(False)) & isbn13_sums(c)
 
 
 def block_kind(c: Column) -> Column:
