@@ -156,3 +156,10 @@ def test_reconcile_repeats_itself(spark):
     once = seq.reconcile(pages(spark, rows))
     again = seq.reconcile(once.select(*[f.split()[0] for f in PAGE.split(", ")]))
     assert order_of(once) and [k for k, _ in groupby(values(once))] == [k for k, _ in groupby(values(again))]
+
+
+def test_composites_equal_to_twelve_places_are_a_tie(spark):
+    rows = [(1, 5, 1.0, 0.6), (1, 4, 1.0, 0.6 - 1e-15), (1, 3, 1.0, 0.5), (2, 8, 1.0, 0.3), (2, 7, 1.0, 0.3 - 1e-9)]
+    scores = spark.createDataFrame([(c, f, s, x, 0.0, 0.0) for c, f, s, x in rows], "cluster long, frame long, sharpness double, flatness double, occlusion double, motion double")
+    got = {r.cluster: (r.canonical, r.fallback) for r in seq.best_frames(scores).collect()}
+    assert got == {1: (4, 5), 2: (8, 7)}
