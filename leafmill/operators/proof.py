@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import pytext
 from leafmill.functions.text import chapter_hash, squash, strip
 from leafmill.operators.sequence import is_body
+from leafmill.sources.shared import kept
 
 
 def doubled_words(texts: DataFrame) -> DataFrame:
@@ -88,40 +95,93 @@ def stuck() -> Column:
     return open_ & (F.col("replacement").isNull() | why.startswith("unsafe") | (why == "not_found"))
 
 
-def name_variants(chapters: DataFrame) -> DataFrame:
-    """book_id, ch_idx, quote, replacement: rare spellings of a name that the book mostly spells otherwise.
+#: Names as alike as that are spellings of one; lengths differ by REACH at most.
+ALIKE, REACH = 0.84, 2
+#: Subsequences of one length that a name is looked up by at most; pairs of longer names meet by initial and lengths.
+SUBSEQUENCES = 600
 
-    Words that begin with a capital and have four letters or more; at most twice against at
-    least four times, same initial, lengths within two, no plural, similarity 0.84.  Ten a chapter.
+
+def _letters_shared(length: int, other: int) -> int:
+    """Letters that names of these lengths have in common, in order, if they are alike."""
+    total = length + other
+    return next(m for m in itertools.count(int(ALIKE * total / 2) - 1) if 2.0 * m / total >= ALIKE)
+
+
+def name_keys(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in words, key): names alike, of one initial, have a key in common.
+
+    Their matching letters are a subsequence of both, so both have one of just the least length that
+    makes them alike.  Keys are hashes of those; equal hashes of different ones only cost a comparison.
     """
-    name = r"(?U)\b[A-Z][a-zA-ZÀ-ÖØ-öø-ÿ]{3,}\b"
-    found = chapters.select("book_id", "ch_idx", F.explode(F.regexp_extract_all("text", F.lit(name), F.lit(0))).alias("word"))
-    per = found.groupBy("book_id", "ch_idx", "word").agg(F.count("*").alias("here"))
-    counts = per.groupBy("book_id", "word").agg(F.sum("here").alias("n"), F.min("ch_idx").alias("first_ch"))
-    block = F.substring("word", 1, 1)
-    rare = counts.where("n <= 2").select("book_id", F.col("word").alias("quote"), F.col("n").alias("rare_n"), block.alias("b"), F.explode(F.sequence(F.length("word") - 2, F.length("word") + 2)).alias("len"))
-    often = counts.where("n >= 4").select("book_id", F.col("word").alias("replacement"), "n", "first_ch", block.alias("b"), F.length("word").alias("len"))
-    near = rare.join(often, ["book_id", "b", "len"])
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    for length, listed in by_length.items():
+        for other in range(max(1, length - REACH), length + REACH + 1):
+            least = _letters_shared(length, other)
+            if least > min(length, other):
+                continue
+            rows = np.array(listed)
+            few = max(math.comb(length, least), math.comb(other, least)) <= SUBSEQUENCES
+            chosen = np.array(list(itertools.combinations(range(length), least))) if few else np.zeros((1, 1), int)
+            for s in range(0, len(rows), max(1, 200_000 // len(chosen))):
+                part = rows[s : s + max(1, 200_000 // len(chosen))]
+                codes = np.array([list(map(ord, words[i][: length if few else 1])) for i in part], dtype=np.uint64)
+                key = (np.uint64((length + other) * 1000 + min(length, other)) * np.uint64(0x9E3779B97F4A7C15) + codes[:, :1]) * np.ones((1, len(chosen)), np.uint64)
+                for k in range(chosen.shape[1]):
+                    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + codes[:, chosen[:, k]]
+                yield np.repeat(part, len(chosen)), key.ravel().view(np.int64)
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(0)
+        for at, key in name_keys(words.to_pylist()):
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(at)), pa.array(key)], ["word", "key"])
+
+
+def alike_names(rare: DataFrame, often: DataFrame) -> DataFrame:
+    """quote, replacement: words of rare and of often that are alike, of one initial; each word is looked at once."""
+    tasks = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # words are few beside their keys
+    keyed = lambda words, name: words.select("word").distinct().repartition(tasks, "word").mapInArrow(_key_batches, "word string, key long").select(F.col("word").alias(name), "key")
+    near = keyed(rare, "quote").join(keyed(often, "replacement").hint("shuffle_hash"), "key").select("quote", "replacement")
+    near = near.where((F.substring("quote", 1, 1) == F.substring("replacement", 1, 1)) & (F.abs(F.length("quote") - F.length("replacement")) <= REACH))
     plural = lambda a, b: (F.col(a) == F.concat(b, F.lit("s"))) | (F.col(a) == F.concat(b, F.lit("es")))
-    near = near.where(~plural("quote", "replacement") & ~plural("replacement", "quote"))
-    # Shared letters bound the ratio from above; most pairs end here.
-    letters = F.size(F.array_intersect(F.split("quote", ""), F.split("replacement", "")))
-    near = near.where(letters >= F.least(F.length("quote"), F.length("replacement")) * 0.4)
+    near = near.where((F.col("quote") != F.col("replacement")) & ~plural("quote", "replacement") & ~plural("replacement", "quote")).distinct()
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([pytext.similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    near = near.where(ratio("quote", "replacement") >= 0.84)
-    best = Window.partitionBy("book_id", "quote").orderBy(F.desc("n"), "first_ch", "replacement")
-    best = near.withColumn("r", F.row_number().over(best)).where("r = 1").select("book_id", "quote", "replacement")
+    return near.where(ratio("quote", "replacement") >= ALIKE)
+
+
+def name_variants(chapters: DataFrame) -> DataFrame:
+    """book_id, ch_idx, quote, replacement: rare spellings of a name that the book mostly spells otherwise.
+
+    Words that begin with a capital and have four letters or more; at most twice against at
+    least four times, same initial, lengths within two, no plural, similarity 0.84.  Ten a chapter.
+    Words that look alike are found once for all books, then each book's are taken.
+    """
+    name = r"(?U)\b[A-Z][a-zA-ZÀ-ÖØ-öø-ÿ]{3,}\b"
+    found = chapters.select("book_id", "ch_idx", F.explode(F.regexp_extract_all("text", F.lit(name), F.lit(0))).alias("word"))
+    per = kept(found.groupBy("book_id", "ch_idx", "word").agg(F.count("*").alias("here")))
+    counts = kept(per.groupBy("book_id", "word").agg(F.sum("here").alias("n"), F.min("ch_idx").alias("first_ch")))
+    rare, often = counts.where("n <= 2"), counts.where("n >= 4")
+    pairs = kept(alike_names(rare, often))
+    near = rare.select("book_id", F.col("word").alias("quote")).join(pairs, "quote")
+    near = near.join(often.select("book_id", F.col("word").alias("replacement"), "n", "first_ch"), ["book_id", "replacement"])
+    best = near.groupBy("book_id", "quote").agg(F.min_by("replacement", F.struct(-F.col("n"), "first_ch", "replacement")).alias("replacement"))
     # A word that the book has over twice in small letters is no name.
-    lower = chapters.select("book_id", F.explode(F.regexp_extract_all("text", F.lit(r"[a-zà-öø-ÿ]{4,}"), F.lit(0))).alias("w")).groupBy("book_id", "w").agg(F.count("*").alias("low"))
-    best = best.join(lower, (best.book_id == lower.book_id) & (F.lower("quote") == lower.w), "left").select(best["*"], "low").where("low is null or low <= 2").drop("low")
-    rows = per.withColumnRenamed("word", "quote").join(best, ["book_id", "quote"])
-    rows = rows.join(chapters, ["book_id", "ch_idx"]).where(~F.expr("text rlike concat(quote, '[a-z]')"))
-    w = Window.partitionBy("book_id", "ch_idx").orderBy("quote")
-    return rows.withColumn("r", F.row_number().over(w)).where("r <= 10").select("book_id", "ch_idx", "quote", "replacement")
+    lower = chapters.select("book_id", F.explode(F.regexp_extract_all("text", F.lit(r"[a-zà-öø-ÿ]{4,}"), F.lit(0))).alias("w")).groupBy("book_id", "w").agg(F.count("*").alias("low")).where("low > 2")
+    best = best.withColumn("w", F.lower("quote")).join(lower, ["book_id", "w"], "left_anti").drop("w")
+    rows = per.select("book_id", "ch_idx", F.col("word").alias("quote")).join(best, ["book_id", "quote"])
+    # What begins a longer word of the chapter is none; such begin at a capital.
+    capitals = F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-zA-ZÀ-ÖØ-öø-ÿ]*"), F.lit(0))), " ")
+    listed = rows.groupBy("book_id", "ch_idx").agg(F.collect_list(F.struct("quote", "replacement")).alias("names"))
+    listed = listed.join(chapters.select("book_id", "ch_idx", capitals.alias("capitals")), ["book_id", "ch_idx"])
+    alone = F.slice(F.array_sort(F.filter("names", lambda x: ~F.rlike(F.col("capitals"), F.concat(x["quote"], F.lit("[a-z]"))))), 1, 10)
+    return listed.select("book_id", "ch_idx", F.explode(alone).alias("x")).select("book_id", "ch_idx", "x.quote", "x.replacement")
 
 
 def dedupe_by_content(pages: DataFrame, least: float = 0.92, chars: int = 2500) -> DataFrame:
