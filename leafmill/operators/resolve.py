@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import squash
+from leafmill.sources.shared import kept
 
 
 def capture_key() -> Column:
@@ -96,34 +102,109 @@ def box_pairs(boxes: DataFrame, least: float = 0.05) -> DataFrame:
     return pairs.where(F.col("iou") > least).select("page", "box_a", "box_b", "iou")
 
 
-def _piece(gram: int):
-    return lambda i: F.substring("target", i, gram)
+#: Snippets meet pages by their first GRAMS characters, the most that they have.
+GRAMS = (24, 12)
+#: A filter of the snippets' keys has 32 bits for each, and between these numbers of them (powers of two) in all.
+LEAST_BITS, MOST_BITS = 15, 28
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _key(hashes: np.ndarray, group: np.ndarray | np.uint64, gram: int) -> np.ndarray:
+    mixed = (hashes ^ group) * _MIX + np.uint64(gram)
+    return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _windows(codes: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each gram characters in a row."""
+    n = max(0, len(codes) - gram + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(gram):
+        total = total * _MIX + codes[k : k + n]
+    return total
+
+
+def _probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return keys >> np.uint64(64 - bits), keys & np.uint64((1 << bits) - 1)
+
 
+def _snippet_keys(by: list[str], bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column("__group").to_numpy().view(np.uint64)
+            keys = np.zeros(len(groups), np.uint64)
+            for i, t in enumerate(batch.column("target").to_pylist()):
+                gram = next(g for g in GRAMS if len(t) >= g)
+                keys[i : i + 1] = _key(_windows(np.frombuffer(t[:gram].encode(), np.uint8), gram), groups[i], gram)
+            first, second = (pa.array(p.view(np.int64)) for p in _probes(keys, bits))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "target")), pa.array(keys.view(np.int64)), first, second], [*by, "target", "key", "first", "second"])
 
-def first_containing(snippets: DataFrame, pages: DataFrame, by: list[str] | None = None, grams: tuple[int, ...] = (24, 12, 6)) -> DataFrame:
+    return run
+
+
+def _page_keys(by: list[str], bits: int, held):
+    """The keys of each page's windows that the filter lets pass, each once a page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = np.frombuffer(held.value, np.uint8)
+        for whole in batches:
+            for batch in (whole.slice(s, 512) for s in range(0, whole.num_rows, 512)):
+                bodies = [x.encode() for x in batch.column("body").to_pylist()]
+                ends = np.cumsum([len(x) for x in bodies])
+                codes = np.frombuffer(b"".join(bodies), np.uint8)
+                groups = batch.column("__group").to_numpy().view(np.uint64)
+                for s in range(0, len(codes), 1 << 19):
+                    for gram in GRAMS:
+                        hashes = _windows(codes[s : s + (1 << 19) + gram - 1], gram)
+                        start = s + np.arange(len(hashes))
+                        page = np.searchsorted(ends, start, side="right")
+                        inside = start + gram <= ends[page]
+                        page = page[inside]
+                        keys = _key(hashes[inside], groups[page], gram)
+                        one, two = _probes(keys, bits)
+                        ok = (filter_[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8)) & (filter_[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                        found = pd.DataFrame({"page": page[ok], "key": keys[ok].view(np.int64)}).drop_duplicates()
+                        rows = batch.select([*by, "page_ord"]).take(pa.array(found["page"].to_numpy()))
+                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found["key"].to_numpy())], [*by, "page_ord", "key"])
+
+    return run
+
+
+def candidate_pages(targets: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+    """by, target, page_ord: the pages of which a window has the key of a target's beginning; few are wrong, none is missed.
+
+    targets(by, target) are distinct, of 12 characters or more; pages are (by, page_ord, body).
+    """
+    spark = targets.sparkSession
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * targets.count()).bit_length()))
+    group = F.xxhash64(F.lit(0), *by).alias("__group")
+    types = lambda df, names: "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in names)
+    keys = targets.select(*by, "target", group).mapInArrow(_snippet_keys(by, bits), types(targets, by) + "target string, key long, first long, second long")
+    each = keys.select(F.explode(F.array("first", "second")).alias("v"))
+    cut = each.groupBy(F.expr("v div 32768").alias("n")).agg(F.bitmap_construct_agg(F.col("v") % 32768).alias("bitmap"))
+    flags = bytearray(1 << (bits - 3))
+    for row in cut.toLocalIterator():
+        flags[row.n * 4096 : row.n * 4096 + 4096] = row.bitmap
+    held = spark.sparkContext.broadcast(bytes(flags))
+    windows = pages.where("body <> ''").select(*by, "page_ord", group, "body").mapInArrow(_page_keys(by, bits, held), types(pages, [*by, "page_ord"]) + "key long")
+    return windows.join(keys.select(*by, "target", "key"), [*by, "key"]).select(*by, "target", "page_ord")
+
+
+def first_containing(snippets: DataFrame, pages: DataFrame, by: list[str] | None = None) -> DataFrame:
     """snippet_id, page_ord (and by): the first page whose squashed text holds the snippet's first 160 characters.
 
     Snippets of under 12 characters match nothing; those of a group in by look at its pages only.
-    Any occurrence of a target of 2 * gram - 1 characters or more holds one of the page's aligned
-    pieces of gram characters within its first 2 * gram - 1, so pieces are joined by equality
-    with the target's first gram substrings, the longest gram that a target allows.  Only ids
-    travel with the pieces; texts are compared for the pairs that these name.
+    Every window of a page is hashed where the page lies; only those travel that a filter of the
+    snippets' first 24 or 12 characters lets pass.  A page then takes all snippets that its windows
+    name, and its text is compared with these.  The filter is a bitmap of at most 32 MB.
     """
     by = by or []
     # Equal snippets are looked for once.
-    all_ = snippets.select(*by, "snippet_id", F.substring(squash(F.col("text")), 1, 160).alias("target")).where(F.length("target") >= 12)
-    s = all_.select(*by, "target").distinct()
+    all_ = kept(snippets.select(*by, "snippet_id", F.substring(squash(F.col("text")), 1, 160).alias("target")).where(F.length("target") >= 12))
     p = pages.select(*by, "page_ord", squash(F.col("text")).alias("body"))
-    pairs, below = None, None
-    for gram in grams:
-        fits = F.length("target") >= 2 * gram - 1
-        mine = s.where(fits if below is None else fits & (F.length("target") < below))
-        below = 2 * gram - 1
-        keys = mine.select(*by, "target", F.explode(F.transform(F.sequence(F.lit(1), F.lit(gram)), _piece(gram))).alias("key"))
-        pieces = p.select(*by, "page_ord", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(f".{{{gram}}}"), F.lit(0)))).alias("key"))
-        found = pieces.join(keys, [*by, "key"]).select(*by, "target", "page_ord").distinct()
-        pairs = found if pairs is None else pairs.unionByName(found)
-    first = pairs.join(p, [*by, "page_ord"]).where(F.contains("body", "target")).groupBy(*by, "target").agg(F.min("page_ord").alias("page_ord"))
+    pairs = candidate_pages(all_.select(*by, "target").distinct(), p, by)
+    named = pairs.groupBy(*by, "page_ord").agg(F.collect_set("target").alias("targets"))
+    there = named.join(p, [*by, "page_ord"]).select(*by, "page_ord", F.explode(F.filter("targets", lambda t: F.contains("body", t))).alias("target"))
+    first = there.groupBy(*by, "target").agg(F.min("page_ord").alias("page_ord"))
     return all_.join(first, [*by, "target"]).select(*by, "snippet_id", "page_ord")
 
 

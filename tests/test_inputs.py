@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from leafmill.functions import image
+from leafmill.functions.text import squash
 from leafmill.operators import resolve
 from leafmill.plans import inputs
 from leafmill.sources import sinks
@@ -77,6 +78,19 @@ def test_pages_of_passages_of_any_length(spark):
     assert got == {k: min(i for i, p in enumerate(plain) if t[:160] in p) for k, t in asked if len(t) >= 12}
 
 
+def test_passages_that_share_pieces_with_every_page_stay_apart(spark):
+    words = ["w%03d" % k for k in range(60)]
+    rng = random.Random(5)
+    pages = spark.createDataFrame([("b%d" % (k % 2), k, " ".join(rng.choices(words, k=60)) + " uniq%06dend" % k) for k in range(80)], "book string, page_ord long, text string")
+    asked = spark.createDataFrame([("b%d" % (k % 2), k, "Uniq %06d-end" % k) for k in range(80)] + [("b0", 99, "nowhere to be found")], "book string, snippet_id long, text string")
+    squashed = lambda df: df.withColumn("body", squash(df.text))
+    want = {(r.book, r.snippet_id, p.page_ord) for r in squashed(asked).collect() for p in squashed(pages).collect() if r.book == p.book and r.body in p.body}
+    pairs = resolve.candidate_pages(squashed(asked).select("book", "body").withColumnRenamed("body", "target").distinct(), squashed(pages).select("book", "page_ord", "body"), ["book"])
+    assert pairs.distinct().count() <= 82
+    got = {(r.book, r.snippet_id, r.page_ord) for r in resolve.first_containing(asked, pages, ["book"]).collect()}
+    assert got == want and len(want) == 80
+
+
 def test_a_table_that_was_moved_aside_comes_back(spark, tmp_path):
     path = tmp_path / "t"
     sinks.snapshot(spark.range(3), str(path))
