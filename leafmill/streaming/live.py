@@ -38,8 +38,9 @@ def sessions(log: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> D
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns its rows.
 
-    Rows that are appended go to Parquet files in the shared folder; updated aggregates, which
-    are small, to a table in memory.
+    Rows go to Parquet files in the shared folder: those that are appended as they come, and
+    complete results each epoch anew, of which the last counts.  Updated aggregates, which are
+    small, go to a table in memory.
     """
     spark = stream.sparkSession
     path = scratch(spark, name)
@@ -47,6 +48,15 @@ def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str |
     if mode == "append":
         writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    if mode == "complete":
+        last: list[int] = []
+
+        def store(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+            last[:] = [epoch]
+
+        writer.foreachBatch(store).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/epoch={last[0]}") if last else spark.createDataFrame([], stream.schema)
     writer.format("memory").queryName(name).start().awaitTermination()
     return spark.table(name)
 

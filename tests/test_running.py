@@ -170,3 +170,12 @@ def test_lanes_are_freed_by_what_ends(spark, tmp_path):
     got = sorted((r.epoch, r.id) for r in spark.read.parquet(target).collect())
     assert got == [(0, 4), (1, 2), (2, 3), (2, 5)]
     assert {r.id for r in spark.read.parquet(f"{target}-state/epoch=3").collect()} == {3, 5}
+
+
+def test_complete_results_are_files_and_not_held_by_the_driver(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.range(100).selectExpr("id % 7 as k").write.parquet(path)
+    counts = spark.readStream.schema("k long").parquet(path).groupBy("k").count()
+    out = live.drain(counts, "counted", "complete")
+    assert len(out.inputFiles()) > 0 and "counted" not in {t.name for t in spark.catalog.listTables()}
+    assert {r.k: r["count"] for r in out.collect()} == {k: len(range(k, 100, 7)) for k in range(7)}
