@@ -206,7 +206,7 @@ def session_stream(spark, sf_dir):
 def epub_files(spark, sf_dir):
     docs = fx.load(spark, sf_dir, "documents")
     chapters = docs.selectExpr("source as book_id", "source as book_title", "doc_id as ch_idx", "concat('Chapter ', doc_id) as title", "text")
-    return sinks.epubs(chapters).select("book_id", F.length("epub").alias("bytes"))
+    return sinks.epub_parts(chapters).groupBy("book_id").agg(F.sum(F.length("content")).alias("bytes"))
 
 
 @query()

@@ -53,6 +53,13 @@ def test_archives_open(spark):
     epub = zipfile.ZipFile(BytesIO(bytes(sinks.epubs(chapters).first().epub)))
     assert epub.namelist()[0] == "mimetype" and epub.infolist()[0].compress_type == zipfile.ZIP_STORED
     assert "body &lt;0&gt;" in epub.read("c0.xhtml").decode() and epub.read("nav.xhtml").decode().index("T0") < epub.read("nav.xhtml").decode().index("T1")
+    again = BytesIO()
+    with zipfile.ZipFile(again, "w") as z:
+        for info in epub.infolist():
+            z.writestr(zipfile.ZipInfo(info.filename, (1980, 1, 1, 0, 0, 0)), epub.read(info))
+    assert bytes(sinks.epubs(chapters).first().epub) == again.getvalue()
+    parts = [bytes(r.content) for r in sinks.epub_parts(chapters).orderBy("at").collect()]
+    assert b"".join(parts) == again.getvalue() and [p.count(b"body &lt;") for p in parts] == [0, 1, 1, 0]
     books = sinks.chapter_markdown(chapters).selectExpr("book_id", "'a \"b\"' as title", "'' as author", "markdown")
     body = zipfile.ZipFile(BytesIO(bytes(sinks.markdown_zips(books).first().zip))).read("book.md").decode()
     assert body.startswith('---\ntitle: "a \\"b\\""') and body.index("# T0") < body.index("# T1")
@@ -89,3 +96,20 @@ def test_batches_are_claimed(spark, tmp_path):
     stream = spark.readStream.schema(running.schema).parquet(arrived)
     live.each_batch(stream, live.claim_batch(running, str(tmp_path / "claims")), str(tmp_path / "cp"))
     assert [r.id for r in spark.read.parquet(str(tmp_path / "claims")).collect()] == [3]
+
+
+def test_an_archive_of_many_entries(spark):
+    chapters = spark.range(70_000).selectExpr("'b' as book_id", "'B' as book_title", "id as ch_idx", "'' as title", "if(id = 69999, 'last', '') as text")
+    epub = zipfile.ZipFile(BytesIO(bytes(sinks.epubs(chapters).first().epub)))
+    assert len(epub.namelist()) == 70_004 and b"<p>last</p>" in epub.read("c69999.xhtml") and epub.namelist()[4] == "c0.xhtml"
+
+
+def test_kept_tables_reach_workers_in_small_batches(spark):
+    from leafmill.sources.shared import kept
+
+    def sizes(batches):
+        yield from (b.from_pydict({"mb": [b.nbytes >> 20]}) for b in batches)
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) as text").mapInArrow(sizes, "mb long")
+    assert max(r.mb for r in kept(rows).collect()) < 12
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"
