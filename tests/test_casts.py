@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from leafmill.functions import pytext, replies, text
 from leafmill.operators import casting
@@ -59,6 +60,15 @@ def test_archives_are_read_in_order(spark, tmp_path):
     assert {(r.title, r.author) for r in good} == {("The Book", "A. Writer")}
 
 
+def test_long_archives_are_handed_on_in_parts():
+    files = {f"OEBPS/c{k}.html": f"<h1>Chapter {k}</h1><p>Words enough for a page.</p>" for k in range(1200)}
+    good = archive(files, [f"c{k}" for k in range(1200)], [(f"c{k}", f"c{k}.html", HTML, "") for k in range(1200)])
+    odd = archive({}, [], []).replace(b"rootfile ", b"rootfils ")
+    batches = list(epub._read([pa.RecordBatch.from_pydict({"path": ["a", "b"], "content": pa.array([good, odd], pa.binary())})]))
+    assert [b.num_rows for b in batches] == [500, 500, 200, 1] and batches[2].column("page_ord").to_pylist() == list(range(1000, 1200))
+    assert batches[3].column("error").to_pylist()[0]
+
+
 def test_pictures_beyond_the_alphabet_go(spark):
     body = "<h1>Many</h1>" + "<img src='a.png'>" * 30
     content = archive({"OEBPS/a.html": body, "OEBPS/a.png": b"p"}, ["a"], [("a", "a.html", HTML, ""), ("i", "a.png", "image/png", "")])
