@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import labelled_isbns
-from leafmill.operators.resolve import hamming, iou
+from leafmill.operators.resolve import hash_bits, iou, near_hashes
 from leafmill.operators.review import needs_escalation
+from leafmill.sources.shared import kept
 
 
 def facsimile_pages(pages: DataFrame) -> DataFrame:
@@ -102,22 +103,35 @@ def candidate_boxes(boxes: DataFrame, most: float = 0.6) -> DataFrame:
     return listed.select("page", F.explode(keep("boxes")).alias("box"))
 
 
+def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of near pairs by label, id_b and id_a, those that join a leader; what has joined before can't lead."""
+    label, joined = None, set()
+    for batch in batches:
+        out = []
+        for r in batch.itertuples():
+            if r.label != label:
+                label, joined = r.label, set()
+            if r.id_b not in joined and r.id_a not in joined:
+                joined.add(r.id_b)
+                out.append((r.label, r.id_b, r.id_a))
+        yield pd.DataFrame(out, columns=["label", "id", "leader"])
+
+
 def figure_clusters(hashes: DataFrame, most: int = 10) -> DataFrame:
-    """label, id, leader: in order of id a figure joins the first leader of its label within most bits, else leads."""
-    a = hashes.select("label", F.col("id").alias("id"), F.col("hash").alias("h_a"))
-    b = hashes.select("label", F.col("id").alias("other"), F.col("hash").alias("h_b"))
-    near = a.join(b, "label").where("other < id").where(hamming("h_a", "h_b") <= most).groupBy("label", "id").agg(F.array_sort(F.collect_list("other")).alias("near"))
-    rows = hashes.select("label", "id").join(near, ["label", "id"], "left")
-
-    def lead(group: pd.DataFrame) -> pd.DataFrame:
-        leaders, out = set(), []
-        for r in group.sort_values("id").itertuples():
-            first = next((o for o in (r.near if r.near is not None else ()) if o in leaders), r.id)
-            leaders |= {r.id} if first == r.id else set()
-            out.append((r.label, r.id, first))
-        return pd.DataFrame(out, columns=["label", "id", "leader"])
-
-    return rows.groupBy("label").applyInPandas(lead, "label int, id long, leader long")
+    """label, id, leader: in order of id a figure joins the first leader of its label within most bits, else leads.
+
+    Figures of one hash have one leader, so each hash is compared once.  Who leads depends on all
+    that came before: a label's near pairs, which are few, are gone through in order in one task,
+    that holds those who have joined.
+    """
+    rows = hashes.select("label", "id", hash_bits(F.col("hash")).alias("bits"))
+    whole = F.col("label").isNotNull() & F.col("bits").isNotNull()
+    firsts = kept(rows.where(whole).groupBy("label", "bits").agg(F.min("id").alias("id")))
+    near = near_hashes(firsts, most)
+    placed = near.repartition("label").sortWithinPartitions("label", "id_b", "id_a").mapInPandas(_leaders, f"label {hashes.schema['label'].dataType.simpleString()}, id long, leader long")
+    led = firsts.join(placed, ["label", "id"], "left").select("label", "bits", F.coalesce("leader", "id").alias("leader"))
+    alone = rows.where(~whole).select("label", "id", F.col("id").alias("leader"))
+    return rows.join(led, ["label", "bits"]).select("label", "id", "leader").unionByName(alone)
 
 
 def keep_sharpest(captures: DataFrame) -> DataFrame:

@@ -45,8 +45,9 @@ def sign_hash(vector: str) -> Column:
     """16 hex digits: bit k, most significant first, says whether component k exceeds the median of all but the first."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     middle = F.element_at(F.array_sort(F.slice(v, 2, F.size(v) - 1)), 32)
-    bits = lambda s: F.array_join(F.transform(F.slice(v, s, 32), lambda x: F.when(x > middle, "1").otherwise("0")), "")
-    return F.lower(F.concat(*(F.lpad(F.conv(bits(s), 2, 16), 8, "0") for s in (1, 33))))
+    # The median is found once a row, not once for each component.
+    once = lambda m: F.lower(F.concat(*(F.lpad(F.conv(F.array_join(F.transform(F.slice(v, s, 32), lambda x: F.when(x > m, "1").otherwise("0")), ""), 2, 16), 8, "0") for s in (1, 33))))
+    return F.get(F.transform(F.array(middle), once), 0)
 
 
 #: Hashes of one label that are compared in one group at most; more are cut into tiles.
@@ -74,6 +75,35 @@ def hamming_pairs(hashes: DataFrame, most: int = 20) -> DataFrame:
     return pairs.where("a <> b").select("label", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "distance")
 
 
+def _near_bits(most: int):
+    """Pairs within most bits of two tiles, or of one with itself; rows of b in blocks, so that no table of all pairs is made."""
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a_id, a_bits, b_id, b_bits = (x.to_numpy() for x in (a["a"], a["bits_a"], b["b"], b["bits_b"]))
+        found = []
+        for s in range(0, len(b_id), 256):
+            far = np.bitwise_count((a_bits[:, None] ^ b_bits[None, s : s + 256]).view(np.uint64))
+            i, k = np.nonzero(far <= most)
+            one, two = a_id[i], b_id[s + k]
+            kept_ = one < two if key[1] == key[2] else one != two
+            found.append(pd.DataFrame({"label": key[0], "id_a": np.minimum(one, two)[kept_], "id_b": np.maximum(one, two)[kept_]}))
+        return pd.concat(found) if found else pd.DataFrame({"label": [], "id_a": [], "id_b": []})
+
+    return run
+
+
+def near_hashes(hashes: DataFrame, most: int) -> DataFrame:
+    """label, id_a, id_b of pairs id_a < id_b of one label within most bits, of hashes(label, id, bits), ids being long.
+
+    All pairs are compared, tile by tile as in hamming_pairs, whole arrays at a time.
+    """
+    tiles = hashes.groupBy("label").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
+    rows = hashes.join(tiles, "label").select("label", "id", "bits", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile"), "tiles")
+    a = rows.select(F.col("label").alias("la"), F.col("tile").alias("ta"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tb"), F.col("id").alias("a"), F.col("bits").alias("bits_a"))
+    b = rows.select(F.col("label").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("ta"), F.col("tile").alias("tb"), F.col("id").alias("b"), F.col("bits").alias("bits_b"))
+    return a.groupBy("la", "ta", "tb").cogroup(b.groupBy("lb", "ta", "tb")).applyInPandas(_near_bits(most), f"label {hashes.schema['label'].dataType.simpleString()}, id_a long, id_b long")
+
+
 def majority_hash(hashes: DataFrame) -> DataFrame:
     """label, hash: each bit set in over half of the label's hashes."""
     digit = F.conv(F.substring("hash", F.col("d"), 1), 16, 10).cast("int")

@@ -37,3 +37,29 @@ def test_greedy_boxes_use_each_once(spark):
 def test_figure_leaders(spark):
     rows = spark.createDataFrame([(1, 1, "0" * 16), (1, 2, "0" * 15 + "1"), (1, 3, "f" * 16), (2, 4, "0" * 16)], "label int, id long, hash string")
     assert [r.leader for r in captures.figure_clusters(rows).orderBy("id").collect()] == [1, 1, 3, 4]
+
+
+def test_clusters_are_those_of_a_plain_pass(spark):
+    """Copies, chains and several tiles; each hash is compared once, and no pair of rows is made of those that are far apart."""
+    import random
+
+    from leafmill.operators import resolve
+
+    dice, rows = random.Random(5), []
+    for i in range(900):
+        bits = dice.choice(rows)[2] ^ (1 << dice.randrange(64)) if rows and dice.random() < 0.4 else dice.choice(rows)[2] if rows and dice.random() < 0.2 else dice.getrandbits(64)
+        rows.append((i % 2, i, bits))
+    want, leaders = {}, {0: [], 1: []}
+    for label, i, bits in rows:
+        want[i] = next((k for k, b in leaders[label] if (b ^ bits).bit_count() <= 18), i)
+        if want[i] == i:
+            leaders[label].append((i, bits))
+    hashes = spark.createDataFrame([(label, i, f"{bits:016x}") for label, i, bits in rows], "label int, id long, hash string")
+    before, resolve.TILE = resolve.TILE, 100
+    try:
+        got = {r.id: r.leader for r in captures.figure_clusters(hashes, 18).collect()}
+        plan = captures.figure_clusters(hashes, 18)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        resolve.TILE = before
+    assert got == want and len(set(got.values())) < 700
+    assert "bit_count" not in plan
