@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import pytext
 from leafmill.functions.replies import cast_reply
+from leafmill.sources.shared import pieces
 
 KEY = ["book_id", "ch_idx"]
 QUOTES = "array<struct<q:string,speaker:string>>"
@@ -37,7 +38,7 @@ def to_analyse(chapters: DataFrame, previous: DataFrame, mode: str = "all", only
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         cut = [pytext.paragraph_windows(t or "") for t in batch.column("text").to_pylist()]
         rows = pa.array([k for k, parts in enumerate(cut) for _ in parts], pa.int32())
         keys = [batch.column(c).take(rows) for c in KEY]
@@ -52,7 +53,7 @@ def windows(chapters: DataFrame) -> DataFrame:
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         kept = []
         for text, quotes in zip(batch.column("text").to_pylist(), batch.column("quotes").to_pylist()):
             kept.append([quotes[k] for k, _, _ in pytext.locate_quotes(text or "", [q["q"] for q in quotes])])
