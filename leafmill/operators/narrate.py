@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import pytext
+from leafmill.sources.shared import pieces
 
 
 def cast_aggregate(quotes: DataFrame, samples: int = 3, chars: int = 160) -> DataFrame:
@@ -25,6 +29,19 @@ def chapter_stats(quotes: DataFrame, voices: DataFrame) -> DataFrame:
     return rows.groupBy("chapter").agg(F.count("*").alias("quotes"), F.count_if(has).alias("voiced"), F.countDistinct(F.when(has, F.col("speaker"))).alias("voices"))
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
+        cut = [pytext.speech_chunks(t) if t is not None else [] for t in batch.column("text").to_pylist()]
+        rows = pa.array([k for k, parts in enumerate(cut) for _ in parts], pa.int32())
+        places = pa.array([n for parts in cut for n in range(len(parts))], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), places, pa.array([p for parts in cut for p in parts], pa.string())], ["doc_id", "part", "text"])
+
+
+def speech_chunks(texts: DataFrame) -> DataFrame:
+    """doc_id, part, text: each text in as many pieces as a voice says at once."""
+    return texts.select("doc_id", "text").mapInArrow(_chunks, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, part int, text string")
+
+
 def estimate(chapters: DataFrame, per_minute: float = 1216.0, synthesis: float = 1.11) -> DataFrame:
     """chapters(chars) with minutes of audio and of its synthesis, to one decimal."""
     minutes = F.col("chars") / per_minute
