@@ -22,7 +22,7 @@ from leafmill.functions.replies import model_findings
 from leafmill.functions.text import chapter_hash, heavy, squash, strip
 from leafmill.operators import proof
 from leafmill.operators.resolve import first_containing
-from leafmill.sources.shared import kept
+from leafmill.sources.shared import kept, pieces
 
 KEY = ["book_id", "ch_idx"]
 FINDING = (
@@ -96,7 +96,7 @@ def _edited(text: str, findings: list[dict]) -> tuple[str, list[dict]]:
 
 
 def _edit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         pairs = zip(batch.column("text").to_pylist(), batch.column("findings").to_pylist())
         proofed, findings = [], []
         for text, listed in pairs:

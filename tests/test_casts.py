@@ -7,7 +7,7 @@ import zipfile
 import pyarrow as pa
 import pytest
 from leafmill.functions import pytext, replies, text
-from leafmill.operators import casting
+from leafmill.operators import casting, narrate, proofflow
 from leafmill.plans import casts
 from leafmill.sources import epub
 from oracle import assert_matches
@@ -81,6 +81,17 @@ def test_blank_pages_have_no_sections():
     assert pytext.html_chapters("<h1>A</h1><p>one</p><h1>B</h1><p>a page with words enough</p>") == ["# A\n\none", "# B\n\na page with words enough"]
 
 
+@pytest.mark.parametrize("run", [casting._windows, casting._located, proofflow._edit_batches, narrate._chunks])
+def test_texts_are_taken_a_few_at_a_time(run):
+    """What a worker makes of a large batch comes in parts, row by row the same."""
+    n, text_ = 40, "Some words. " * 30_000
+    quotes = pa.array([[]] * n, pa.list_(pa.struct({"q": pa.string(), "speaker": pa.string()})))
+    batch = pa.RecordBatch.from_pydict({"book_id": ["b"] * n, "ch_idx": pa.array(range(n), pa.int64()), "doc_id": pa.array(range(n), pa.int64()), "quotes": quotes, "findings": pa.array([[]] * n, pa.list_(pa.struct({"quote": pa.string()}))), "text": [text_] * n})
+    parts = list(run(iter([batch])))
+    key = "doc_id" if run is narrate._chunks else "ch_idx"
+    assert len(parts) > 5 and list(dict.fromkeys(k for p in parts for k in p.column(key).to_pylist())) == list(range(n))
+
+
 CHAPTER = "book_id string, ch_idx int, title string, text string"
 ROW = f"book_id string, ch_idx int, title string, quotes {casting.QUOTES}, characters {casting.PEOPLE}, error string"
 
