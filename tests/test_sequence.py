@@ -2,6 +2,7 @@ from itertools import groupby
 
 import pytest
 from leafmill.operators import sequence as seq
+from pyspark.sql import functions as F
 
 PAGE = (
     "book_id long, page_ord long, video long, frame_no long, printed_number long, number_manual boolean, confidence string, composite double, "
@@ -163,3 +164,15 @@ def test_composites_equal_to_twelve_places_are_a_tie(spark):
     scores = spark.createDataFrame([(c, f, s, x, 0.0, 0.0) for c, f, s, x in rows], "cluster long, frame long, sharpness double, flatness double, occlusion double, motion double")
     got = {r.cluster: (r.canonical, r.fallback) for r in seq.best_frames(scores).collect()}
     assert got == {1: (4, 5), 2: (8, 7)}
+
+
+def test_percentiles_are_exact_and_of_no_single_task(spark):
+    rows = spark.range(1, 5001, 1, 4).selectExpr("if(id % 7 = 0, null, pmod(id * 7919, 1009) / 8.0D) as a", "cast(id % 3 as double) as b", "cast(null as double) as none")
+    want = rows.selectExpr("percentile(a, 0.95) as a", "median(b) as b", "percentile(a, 0.1) as c").first()
+    made = seq.percentiles(rows, a=(F.col("a"), 0.95), b=(F.col("b"), 0.5), c=(F.col("a"), 0.1), none=(F.col("none"), 0.5))
+    got = made.first()
+    assert got.none is None and all(abs(got[k] - want[k]) < 1e-9 for k in "abc")
+    for scores in (rows.limit(0), rows):
+        norms = seq.score_norms(scores.selectExpr("a as sharpness", "b as motion"))
+        assert "percentile" not in norms._jdf.queryExecution().executedPlan().toString() and norms.count() == 1
+    assert tuple(seq.score_norms(rows.limit(0).selectExpr("a as sharpness", "b as motion")).first()) == (0.0, 1.0)
