@@ -176,3 +176,10 @@ def test_percentiles_are_exact_and_of_no_single_task(spark):
         norms = seq.score_norms(scores.selectExpr("a as sharpness", "b as motion"))
         assert "percentile" not in norms._jdf.queryExecution().executedPlan().toString() and norms.count() == 1
     assert tuple(seq.score_norms(rows.limit(0).selectExpr("a as sharpness", "b as motion")).first()) == (0.0, 1.0)
+
+
+def test_low_tail_needs_no_percentile_in_one_task(spark):
+    pages = spark.range(1, 101).selectExpr("id as cluster", "if(id <= 2, 0.1D, id / 10.0D) as composite")
+    low = seq.low_tail(pages)
+    assert "percentile" not in low._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.cluster for r in low.collect()) == [1, 2, 3, 4, 5]
