@@ -71,6 +71,30 @@ def test_embeddings_match_brute_force(spark):
     assert embed_dup.embedding_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_tiles_travel_by_groups(spark, monkeypatch):
+    tiles = [(t, t % 64, 8, 1 << 20, 3.0, [1.0] + [0.0] * 7) for t in range(400)]
+    bounds = spark.createDataFrame(tiles, "tile long, code long, dims int, bytes long, radius double, centre array<double>")
+    ends = embed_dup.paired(bounds, 0.95)
+    units = {}
+    for r in ends.collect():
+        units.setdefault(r.unit, []).append(r.side)
+    # Every two tiles meet in one unit, and none is sent once for each other tile.
+    sizes = [(s.count(min(s)), s.count(max(s)), min(s) == max(s)) for s in units.values()]
+    assert sum(a * (a + 1) // 2 if same else a * b for a, b, same in sizes) == 400 * 401 // 2
+    assert ends.count() <= 400 * 17
+    # Several groups give what one tile gives.
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((20, 8))
+    rows = [(i, (centre[i % 20] + rng.standard_normal(8) * 0.2).tolist()) for i in range(600)]
+    for kind in ("float", "double"):
+        table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        whole = sorted(embed_dup.embedding_duplicates(table).collect())
+        with monkeypatch.context() as m:
+            m.setattr(embed_dup, "TILE", 20)
+            assert sorted(embed_dup.embedding_duplicates(table).collect()) == whole
+        assert max(r.n_links for r in whole) > 1
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((200, 1500))
