@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import pytext
 from leafmill.functions.text import chapter_hash, squash, strip
+from leafmill.operators.queue import with_next
 from leafmill.operators.sequence import is_body
 from leafmill.sources.shared import kept
 
@@ -187,24 +188,25 @@ def name_variants(chapters: DataFrame) -> DataFrame:
 def dedupe_by_content(pages: DataFrame, least: float = 0.92, chars: int = 2500) -> DataFrame:
     """pages with status: of two neighbours that read nearly alike the worse capture is a duplicate, the earlier on ties.
 
-    Neighbours are those of the body before any decision; scores are computed in parallel and
-    decisions taken from left to right, skipping pairs of which one is decided.
+    Neighbours are those of the body before any decision; scores are computed in parallel, however
+    few the books, and decisions taken from left to right, skipping pairs of which one is decided.
     """
-    w = Window.partitionBy("book_id").orderBy("page_ord")
     key = F.substring(squash(F.coalesce("text", F.lit(""))), 1, chars)
     confidence = F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0)
     rank = F.struct(F.col("patched_source").isNotNull().alias("p"), confidence.alias("c"), F.coalesce("composite", F.lit(0.0)).alias("s"))
     body = pages.where(is_body()).select("book_id", "page_ord", key.alias("key"), rank.alias("rank"), (F.col("dedupe_exempt") | F.col("manual_duplicate")).alias("fixed"))
-    for name in ("page_ord", "key", "rank", "fixed"):
-        body = body.withColumn(f"{name}2", F.lead(name).over(w))
+    body = with_next(kept(body), ["book_id"], "page_ord")
     ok = (F.length("key") >= 300) & (F.length("key2") >= 300) & ~F.col("fixed") & ~F.col("fixed2")
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([pytext.similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([pytext.alike(x, y, least) for x, y in zip(a, b)], dtype="bool")
 
-    alike = F.when(ok & (F.lit(2.0) * F.least(F.length("key"), F.length("key2")) >= (F.length("key") + F.length("key2")) * least), ratio("key", "key2")) >= least
-    pairs = body.where(ok).select("book_id", "page_ord", "page_ord2", (F.col("rank") <= F.col("rank2")).alias("first_loses"), alike.alias("alike")).where("alike")
+    near = body.where(ok & (F.lit(2.0) * F.least(F.length("key"), F.length("key2")) >= (F.length("key") + F.length("key2")) * least))
+    # Comparing takes time out of proportion to the rows' size, so they are dealt to as many tasks as there may be;
+    # a deterministic function would be pushed down below that.
+    near = near.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "book_id", "page_ord")
+    pairs = near.where(alike.asNondeterministic()("key", "key2")).select("book_id", "page_ord", "page_ord2", (F.col("rank") <= F.col("rank2")).alias("first_loses"))
 
     def decide(group: pd.DataFrame) -> pd.DataFrame:
         lost = set()
