@@ -1,4 +1,8 @@
-"""An append-only log dealt to files of bounded size."""
+"""An append-only log dealt to files of bounded size.
+
+A row has the file of its line.  What is stored is a folder for each stretch of FILES files,
+sorted by file and place, so that a large log of small files isn't as many folders to list.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 
 from leafmill.operators.queue import in_order
 
+#: Files of the log to a stored folder.
+FILES = 1024
 
 def deal(lines: DataFrame, order: list[str], cap: int, start: int = 0) -> DataFrame:
     """lines(line) with from, the bytes before each, a line's end counting one, and file = from // cap.
@@ -38,7 +44,8 @@ def rotating(order: list[str], cap: int, target: str) -> Callable[[DataFrame, in
         spark = batch.sparkSession
         start = spark.read.parquet(f"{target}/ends/epoch={epoch - 1}").first()["end"] if epoch else 0
         rows = deal(batch, order, cap, start)
-        rows.sortWithinPartitions("file", "from").write.mode("overwrite").partitionBy("file").parquet(f"{target}/lines/epoch={epoch}")
+        rows = rows.withColumn("folder", F.floor(F.col("file") / FILES).cast("long")).sortWithinPartitions("folder", "file", "from")
+        rows.write.mode("overwrite").partitionBy("folder").parquet(f"{target}/lines/epoch={epoch}")
         end = spark.read.parquet(f"{target}/lines/epoch={epoch}").agg(F.max(F.col("from") + F.octet_length("line") + 1).alias("end")) if not batch.isEmpty() else None
         end = end if end is not None else spark.range(1).select(F.lit(start).cast("long").alias("end"))
         end.coalesce(1).write.mode("overwrite").parquet(f"{target}/ends/epoch={epoch}")
@@ -48,4 +55,4 @@ def rotating(order: list[str], cap: int, target: str) -> Callable[[DataFrame, in
 
 def read_log(spark, target: str) -> DataFrame:
     """All lines with their file and place."""
-    return spark.read.option("basePath", f"{target}/lines").parquet(f"{target}/lines")
+    return spark.read.option("basePath", f"{target}/lines").parquet(f"{target}/lines").drop("folder")

@@ -112,6 +112,15 @@ def test_log_files_are_bounded_and_in_order(spark, tmp_path):
     assert len(rows) == 500 and max(sizes.values()) < 1000 + 90
 
 
+def test_small_log_files_share_folders(spark, tmp_path):
+    target = str(tmp_path)
+    accesslog.rotating(["id"], 10, target)(spark.range(5000).selectExpr("id", "'12345678' as line"), 0)
+    rows = accesslog.read_log(spark, target)
+    assert set(rows.columns) == {"id", "line", "from", "file", "epoch"} and rows.select("file").distinct().count() == 4500
+    assert rows.where("file != `from` div 10 or `from` != id * 9").count() == 0
+    assert len(list(tmp_path.glob("lines/epoch=0/*/"))) == 5 and len(rows.inputFiles()) <= 5 + 200
+
+
 def test_appended_rows_stay_off_the_driver(spark, tmp_path):
     path = str(tmp_path / "in")
     write(spark, [(1, "a"), (2, "b")], path, "id long, x string")
