@@ -52,10 +52,10 @@ _SCORES = "select user_id, event_id, value, event_type from {events}"
 
 @query("select 'v' || user_id || '_f' || event_id as frame_id, value as sharpness, case when event_type = 'error' then 0.0 else 0.5 end as motion, 'v' || user_id as video from events")
 def frame_scores(spark, sf_dir):
-    """Score files, a folder a video as written by Spark, read back and keyed by frame."""
+    """Score files, the records of several videos in each as written by Spark, read back and keyed by frame."""
     path = scratch(spark, "scores")
     rows = fx._run(spark, sf_dir, _SCORES, "events").selectExpr("concat('v', user_id) as video", "concat('f', event_id, '.jpg') as frame", "value as sharpness", "if(event_type = 'error', 0.0D, 0.5D) as motion")
-    rows.repartition("video").write.partitionBy("video").json(path)
+    rows.repartition("video").write.json(path)
     back = spark.read.schema(readers.SCORE + ", video string").json(path)
     return readers.with_frame_ids(back).select("frame_id", "sharpness", "motion", "video")
 

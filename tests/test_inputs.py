@@ -100,3 +100,11 @@ def test_a_table_that_was_moved_aside_comes_back(spark, tmp_path):
     path.rename(tmp_path / "t.old")
     sinks.snapshot(spark.range(5), str(path))
     assert spark.read.parquet(str(path)).count() == 5 and not (tmp_path / "t.old").exists()
+
+
+def test_score_files_do_not_grow_with_videos(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id as event_id", "id div 4 as user_id", "id / 8.0D as value", "if(id % 3 = 0, 'error', 'view') as event_type")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    out = inputs.frame_scores(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == sorted((f"v{i // 4}_f{i}", i / 8, 0.5 if i % 3 else 0.0, f"v{i // 4}") for i in range(2000))
+    assert len(out.inputFiles()) <= 200
