@@ -183,3 +183,13 @@ def test_low_tail_needs_no_percentile_in_one_task(spark):
     low = seq.low_tail(pages)
     assert "percentile" not in low._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.cluster for r in low.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_best_frames_are_dealt_by_their_number(spark, monkeypatch):
+    """More frames mean more tasks, not more for each of the session's four."""
+    monkeypatch.setattr("leafmill.sources.shared.TASK_ROWS", 100)
+    scores = spark.range(2000).selectExpr("id div 3 as cluster", "id as frame", "id % 17 + 1.0D as sharpness", "0.5D as flatness", "0.0D as occlusion", "0.0D as motion")
+    best = seq.best_frames(scores)
+    assert best.groupBy(F.spark_partition_id()).count().count() > 12 and best.count() == 667
+    want = {k: max(range(3 * k, min(3 * k + 3, 2000)), key=lambda i: (min((i % 17 + 1) / 17, 1), -i)) for k in range(667)}
+    assert {r.cluster: r.canonical for r in best.collect()} == want
