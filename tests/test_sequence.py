@@ -193,3 +193,41 @@ def test_best_frames_are_dealt_by_their_number(spark, monkeypatch):
     assert best.groupBy(F.spark_partition_id()).count().count() > 12 and best.count() == 667
     want = {k: max(range(3 * k, min(3 * k + 3, 2000)), key=lambda i: (min((i % 17 + 1) / 17, 1), -i)) for k in range(667)}
     assert {r.cluster: r.canonical for r in best.collect()} == want
+
+
+@pytest.mark.parametrize("bits", [1, 3, 40])
+def test_books_are_gone_through_in_blocks(spark, monkeypatch, bits):
+    """Blocks of any size give the same rows, and no task has a whole book."""
+    import random
+
+    rng, rows = random.Random(7), []
+    for k in range(240):
+        rows.append({
+            "book_id": rng.choice([0, 0, 0, 1, None]), "page_ord": k * 3 - 200, "video": k // 20, "printed_number": rng.choice([None, None, k // 2, k // 2, rng.randint(1, 9)]),
+            "pinned": rng.choice([None] * 8 + ["start", "end"]), "status": rng.choice(["ok"] * 5 + ["deleted"]),
+        })
+    table = pages(spark, rows).withColumn("number_inferred", F.lit(False))
+    book = [r for r in rows if r["book_id"] == 0]
+    has = [i for i, r in enumerate(book) if r["printed_number"] is not None]
+    near = lambda i: None if i is None else (book[i]["printed_number"], i + 1)
+    want = {r["page_ord"]: (i + 1, near(max((j for j in has if j < i), default=None)), near(min((j for j in has if j > i), default=None))) for i, r in enumerate(book)}
+    monkeypatch.setattr(seq, "BLOCK_BITS", bits)
+    found = seq._around(table, ["book_id"], F.col("printed_number"), 8)
+    assert {r.page_ord: (r["at"], r.a and tuple(r.a), r.b and tuple(r.b)) for r in found.where("book_id = 0").collect()} == want
+    if bits < 40:
+        assert found.where("book_id = 0").groupBy(F.spark_partition_id()).count().count() > 1
+    order = {(r.book_id, r.page_ord): r.new_ord for r in seq.reorder(table).collect()}
+    after = sorted((r.page_ord, r.printed_number, r.status) for r in seq.infer_missing(table).where("printed_number is not null").collect())
+    monkeypatch.setattr(seq, "BLOCK_BITS", 50)
+    assert order == {(r.book_id, r.page_ord): r.new_ord for r in seq.reorder(table).collect()} and len(order) == len(rows)
+    assert after == sorted((r.page_ord, r.printed_number, r.status) for r in seq.infer_missing(table).where("printed_number is not null").collect())
+    assert all(sorted(n for (b, _), n in order.items() if b == k) == list(range(1, 1 + sum(r["book_id"] == k for r in rows))) for k in (0, 1, None))
+
+
+def test_captures_are_placed_without_a_task_for_each_book(spark, data):
+    from leafmill.plans import fixtures
+
+    placed = fixtures.captures(spark, data)
+    assert placed.where("page_ord is null").count() == 0 and "row_number() windowspecdefinition(_w" not in placed._jdf.queryExecution().executedPlan().toString()
+    top = placed.groupBy("book_id").agg(F.count("*").alias("n"), F.max("page_ord").alias("top"), F.count_distinct("page_ord").alias("each")).collect()
+    assert top and all(r.n == r.top == r["each"] for r in top)
