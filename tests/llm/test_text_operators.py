@@ -170,6 +170,24 @@ def test_proximity(spark, slop, monkeypatch):
     assert decontaminate.near_phrases(docs(spark, texts).limit(0), table).count() == 0
 
 
+def test_proximity_shuffles_only_postings_that_may_count(spark, monkeypatch):
+    """Common words of the phrases are in every text; their postings don't travel."""
+    kept_plans = []
+    plain = decontaminate.written
+
+    def noted(df, kind="stage"):
+        if kind == "near":
+            kept_plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, kind)
+
+    monkeypatch.setattr(decontaminate, "written", noted)
+    texts = ["the of and to in rare seldom the of", "the of and to in the of and"] * 3 + ["rare of the to and in seldom"]
+    table = spark.createDataFrame([(0, "the of and to in rare seldom")], "item_id long, text string")
+    got = {r.doc_id: (r.n_items, r.n_places) for r in decontaminate.near_phrases(docs(spark, texts), table).collect()}
+    assert got == near_by_hand(texts, [(0, "the of and to in rare seldom")], 13, 3) and set(got) == {0, 2, 4, 6}
+    assert len(kept_plans) == 1 and "LeftSemi" in kept_plans[0]
+
+
 def test_rows_of_one_doc_id_stay_apart(spark):
     """A phrase cut over two rows of a doc_id is no match."""
     rows = spark.createDataFrame([(1, "a b x x"), (1, "y y c d"), (2, "-a b c d"), (3, "A b c d e")], "doc_id long, text string")
