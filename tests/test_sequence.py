@@ -224,6 +224,12 @@ def test_books_are_gone_through_in_blocks(spark, monkeypatch, bits):
     assert all(sorted(n for (b, _), n in order.items() if b == k) == list(range(1, 1 + sum(r["book_id"] == k for r in rows))) for k in (0, 1, None))
 
 
+def test_reorder_keeps_pages_without_book_or_place(spark):
+    rows = [{"page_ord": None, "printed_number": 4}, {"printed_number": 3}, {"printed_number": 9, "book_id": None}]
+    found = seq.reorder(pages(spark, rows)).collect()
+    assert sorted((str(r.book_id), r.printed_number, r.new_ord) for r in found) == [("0", 3, 1), ("0", 4, 2), ("None", 9, 1)]
+
+
 def test_captures_are_placed_without_a_task_for_each_book(spark, data):
     from leafmill.plans import fixtures
 
