@@ -185,28 +185,33 @@ def name_variants(chapters: DataFrame) -> DataFrame:
     return listed.select("book_id", "ch_idx", F.explode(alone).alias("x")).select("book_id", "ch_idx", "x.quote", "x.replacement")
 
 
-def dedupe_by_content(pages: DataFrame, least: float = 0.92, chars: int = 2500) -> DataFrame:
+def dedupe_by_content(pages: DataFrame, least: float = 0.92) -> DataFrame:
     """pages with status: of two neighbours that read nearly alike the worse capture is a duplicate, the earlier on ties.
 
-    Neighbours are those of the body before any decision; scores are computed in parallel, however
-    few the books, and decisions taken from left to right, skipping pairs of which one is decided.
+    Whole texts are compared.  Neighbours are those of the body before any decision; scores are computed in parallel,
+    however few the books, and decisions taken from left to right, skipping pairs of which one is decided.
     """
-    key = F.substring(squash(F.coalesce("text", F.lit(""))), 1, chars)
+    key = squash(F.coalesce("text", F.lit("")))
     confidence = F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0)
     rank = F.struct(F.col("patched_source").isNotNull().alias("p"), confidence.alias("c"), F.coalesce("composite", F.lit(0.0)).alias("s"))
-    body = pages.where(is_body()).select("book_id", "page_ord", key.alias("key"), rank.alias("rank"), (F.col("dedupe_exempt") | F.col("manual_duplicate")).alias("fixed"))
-    body = with_next(kept(body), ["book_id"], "page_ord")
-    ok = (F.length("key") >= 300) & (F.length("key2") >= 300) & ~F.col("fixed") & ~F.col("fixed2")
+    body = kept(pages.where(is_body()).select("book_id", "page_ord", key.alias("key"), rank.alias("rank"), (F.col("dedupe_exempt") | F.col("manual_duplicate")).alias("fixed"), F.monotonically_increasing_id().alias("id")))
+    # Texts stay behind while neighbours are found; only pairs of a fitting length get theirs.
+    places = with_next(body.select("book_id", "page_ord", F.length("key").alias("chars"), "rank", "fixed", "id"), ["book_id"], "page_ord")
+    ok = (F.col("chars") >= 300) & (F.col("chars2") >= 300) & ~F.col("fixed") & ~F.col("fixed2")
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([pytext.alike(x, y, least) for x, y in zip(a, b)], dtype="bool")
 
-    near = body.where(ok & (F.lit(2.0) * F.least(F.length("key"), F.length("key2")) >= (F.length("key") + F.length("key2")) * least))
+    near = places.where(ok & (F.lit(2.0) * F.least("chars", "chars2") >= (F.col("chars") + F.col("chars2")) * least))
+    near = near.select("book_id", "page_ord", "page_ord2", (F.col("rank") <= F.col("rank2")).alias("first_loses"), "id", "id2")
+    texts = lambda id_, name: body.select(F.col("id").alias(id_), F.col("key").alias(name))
+    near = near.join(texts("id", "key"), "id").join(texts("id2", "key2"), "id2")
     # Comparing takes time out of proportion to the rows' size, so they are dealt to as many tasks as there may be;
     # a deterministic function would be pushed down below that.
     near = near.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "book_id", "page_ord")
-    pairs = near.where(alike.asNondeterministic()("key", "key2")).select("book_id", "page_ord", "page_ord2", (F.col("rank") <= F.col("rank2")).alias("first_loses"))
+    # Kept, as batches of whole texts are small while a table is.
+    pairs = kept(near.where(alike.asNondeterministic()("key", "key2")).select("book_id", "page_ord", "page_ord2", "first_loses"))
 
     def decide(group: pd.DataFrame) -> pd.DataFrame:
         lost = set()
